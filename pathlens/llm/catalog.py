@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, mixing, token_store
+from . import fingerprint, jaccard_join, mixing, pseudonyms, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard_join.join(table(spark, sf_dir, "documents"))
     return members.select("doc_id", "class_id", "n_links", "n_texts", "copies")
