@@ -51,7 +51,7 @@ COORDINATES = 128
 BRANCH = 2.0
 RECALL = 0.9999
 LIMIT = 512
-DEPTH = 4
+DEPTH = 3
 BLOCK_SETS = 1024
 #: Signatures that agree this much less than the threshold are still tied (four standard errors).
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
