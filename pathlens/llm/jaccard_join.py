@@ -262,7 +262,8 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     placed = tied.join(sizes, "root").join(heads.select("set_key", "copies", "head"), tied["node"] == heads["set_key"])
     parts = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
     placed = placed.select("set_key", "copies", "root", F.pmod(F.xxhash64("set_key"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("head.doc_id").alias("doc_id"), F.col("head.text_key").alias("text_key"))
-    wanted = source.join(placed, source["doc_id"].eqNullSafe(placed["doc_id"]) & (source["text_key"] == placed["text_key"])).select("set_key", "copies", "root", "part", "parts", "text")
+    # the sets to compare grow with the corpus, so they are never broadcast
+    wanted = source.join(placed.hint("merge"), source["doc_id"].eqNullSafe(placed["doc_id"]) & (source["text_key"] == placed["text_key"])).select("set_key", "copies", "root", "part", "parts", "text")
     sets = work.save(wanted.mapInArrow(_shingles, "set_key binary, copies long, root binary, part int, parts int, shingles binary").dropDuplicates(["set_key"]), "sets")
     # part i meets part j once, in task (min, max)
     tasks = sets.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("task", F.concat_ws(":", F.hex("root"), F.least("part", "other"), F.greatest("part", "other"))).drop("root", "parts", "other")
