@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard_join, mixing, pseudonyms, quality, token_store, toxicity
+from . import decontaminate, fingerprint, jaccard_join, mixing, pseudonyms, quality, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "edits", "start", "end")
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """A vocabulary file of the installed public tokenizers."""
     import public_tokenizers
