@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, jaccard_join, mixing, pseudonyms, quality, token_store, toxicity
+from . import decontaminate, fingerprint, jaccard_join, mixing, pseudonyms, quality, suffixes, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "edits", "start", "end")
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "copies", "repeated_words", "spans")
+
+
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """A vocabulary file of the installed public tokenizers."""
     import public_tokenizers
