@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FOLD = str.maketrans(UPPER, LOWER)
@@ -31,7 +32,7 @@ def nfc(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc_column(s: pd.Series) -> pd.Series:
     """NFC form; ASCII strings, nearly all, are passed on."""
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
