@@ -119,12 +119,15 @@ def repeats(documents: DataFrame) -> DataFrame:
     ids = docs.select("doc_id", "text_key", "n_words").distinct()
     heads = ids.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     suffixes = docs.select("text_key", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("text_key", F.col("s.grams").alias("gram"), F.col("s.places").alias("place"))
-    places = suffixes.join(shared(suffixes, "gram"), "gram").groupBy("text_key").agg(F.collect_set("place").alias("places"))
+    # written tables on both sides, so that a gram of very many texts can be split at run time
+    grams = work.save(shared(suffixes, "gram"), "grams")
+    places = suffixes.join(grams, "gram").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     wanted = places.join(heads.select("text_key", "head"), "text_key").select(F.col("text_key").alias("__key"), "head", "places")
     # texts grow with the corpus, so neither side is ever broadcast
     texts = source.join(wanted.hint("merge"), source["doc_id"].eqNullSafe(wanted["head"]) & (source["text_key"] == wanted["__key"])).select("text_key", "text", "places")
     runs = work.save(texts.mapInArrow(_runs, "run long, text_key long, start int"), "runs")
-    found = runs.join(shared(runs, "run"), "run").groupBy("text_key").agg(F.collect_set("start").alias("starts")).mapInArrow(_spans, "text_key long, spans array<struct<start:int,end:int>>")
+    equal = work.save(shared(runs, "run"), "equal")
+    found = runs.join(equal, "run").groupBy("text_key").agg(F.collect_set("start").alias("starts")).mapInArrow(_spans, "text_key long, spans array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     placed = ids.join(heads.select("text_key", "copies"), "text_key").join(found, "text_key", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= LENGTH)
