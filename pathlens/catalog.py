@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlens import fixtures
-from pathlens.functions import fuzzy, highlight, scoring
-from pathlens.functions.paths import normalize
+from pathlens.functions import highlight, scoring
+from pathlens.functions.exclude import excluded
+from pathlens.functions.paths import longest_root, normalize
+from pathlens.operators import content, events, index, overlay, status, sync, watch
 from pathlens.operators import search as searching
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,6 +160,210 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("fuzzy_topk", _fuzzy)
 
 
+# Changes and maintenance.
+
+EVENTS = f"WITH ev AS ({fixtures.FS_EVENTS})"
+_STATES = EVENTS + """,
+st AS (SELECT path, seq, event_type <> 'delete' AS live, false AS gone, ino, size FROM ev
+  UNION ALL SELECT from_path, seq, false, true, ino, size FROM ev WHERE event_type = 'rename' AND from_path IS NOT NULL)"""
+
+
+def _latest_sql(where: str) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS rn FROM st WHERE {where}) WHERE rn = 1)"
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.fs_events(spark, sf_dir)
+
+
+def _delta_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.delta(_events(spark, sf_dir)).select("path", "seq", "live", "ino", "size")
+
+
+def _event_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.coalesce(_events(spark, sf_dir)).select("seq", "event_type", "path", "from_path")
+
+
+def _wal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _events(spark, sf_dir).select("path", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"), "size", F.col("seq").alias("pos"))
+    return events.clean_log(records).select("seq", "path", "size")
+
+
+def _raw_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "delete", "rename_from").when(F.col("event_type") == "rename", "rename_to").otherwise(F.col("event_type"))
+    cookie = F.when(F.col("event_type").isin("delete", "rename"), F.expr("ino div 70"))
+    return _events(spark, sf_dir).select("seq", F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq % 5000)").alias("ts"), kind.alias("event_type"), "path", cookie.alias("cookie"))
+
+
+def _rename_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.pair_renames(_raw_moves(spark, sf_dir), 600).select("seq", "event_type", "path", "from_path")
+
+
+def _base_and_delta(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    every = overlay.with_key(_events(spark, sf_dir))
+    base = events.delta(every.where("seq <= 5000")).where("live").select("dev", "ino", "generation", "path", "size")
+    return overlay.first_seen(base.withColumn("seq", F.lit(0)).withColumn("seq", F.crc32("path"))).select("dev", "ino", "generation", "path", "size"), events.delta(every.where("seq > 5000"))
+
+
+def _visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlay.visible_files(*_base_and_delta(spark, sf_dir)).select("path", "ino", "size")
+
+
+def _visible_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.matching(overlay.visible_files(*_base_and_delta(spark, sf_dir)), "f3 size:<50 !u1").select("path", "size")
+
+
+_VISIBLE = _STATES + f""",
+b0 AS (SELECT path, ino, size FROM {_latest_sql("seq <= 5000")} WHERE live),
+base AS (SELECT path, ino, size FROM b0),
+d AS (SELECT * FROM {_latest_sql("seq > 5000")}),
+live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ino ORDER BY seq DESC) AS k FROM d WHERE live) WHERE k = 1),
+visible AS (SELECT path, ino, size FROM base WHERE path NOT IN (SELECT path FROM d) AND ino NOT IN (SELECT ino FROM live) UNION ALL SELECT path, ino, size FROM live)"""
+
+
+def _first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir)
+    both = rows.withColumn("seq", F.col("ino") * 2).unionByName(rows.withColumn("path", F.concat(F.lit("/alias"), "path")).withColumn("size", F.col("size") + 1).withColumn("seq", F.col("ino") * 2 + 1))
+    return overlay.first_seen(both).select("ino", "path", "size")
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The files as indexed, and as a later scan finds them."""
+    rows = files(spark, sf_dir)
+    later = rows.where("ino % 10 <> 3").withColumn("size", F.col("size") + F.when(F.col("ino") % 6 == 0, 1).otherwise(0))
+    fresh = rows.where("ino % 9 = 4").withColumn("path", F.concat("path", F.lit(".new"))).withColumn("ino", F.col("ino") + 10_000_000)
+    return rows, later.unionByName(fresh)
+
+
+_SCAN = f"""{NAMED}, scan AS (SELECT path, size + CASE WHEN ino % 6 = 0 THEN 1 ELSE 0 END AS size, parent FROM files WHERE ino % 10 <> 3
+  UNION ALL SELECT path || '.new', size, parent FROM files WHERE ino % 9 = 4)"""
+
+
+def _freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, scan = _halves(spark, sf_dir)
+    return sync.freshness(scan, index)
+
+
+def _repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.repair_needed(_freshness(spark, sf_dir))
+
+
+def _dirty(index: DataFrame) -> DataFrame:
+    return normalize(index).where("parent LIKE '%/en' OR parent LIKE '%/lib'").select(F.col("parent").alias("path")).distinct()
+
+
+def _delete_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, scan = _halves(spark, sf_dir)
+    return sync.delete_alignment(index, _dirty(index), scan)
+
+
+def _fast_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, scan = _halves(spark, sf_dir)
+    dirty = _dirty(index)
+    current = normalize(scan).join(dirty.select(F.col("path").alias("parent")), "parent", "left_semi").select(*index.columns)
+    return sync.fast_sync(index, dirty, current).select("path", "size")
+
+
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.gaps(_events(spark, sf_dir).where("seq % 97 <> 0"))
+
+
+def _first_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.first_gap(_events(spark, sf_dir).where("seq % 97 <> 0"), 500)
+
+
+def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(files(spark, sf_dir))
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir)
+    return index.narrowed(rows, index.trigrams(rows), "*testfile*").select("path")
+
+
+_TRIGRAMS = f"""{NAMED}, seg AS (SELECT path, lower(unnest(segs)) AS s FROM files), h AS (SELECT path, hex(encode(s)) AS h FROM seg),
+tri AS (SELECT DISTINCT path, substr(h, i * 2 + 1, 6) AS trigram FROM (SELECT path, h, unnest(range(0, len(h) // 2 - 2)) AS i FROM h))"""
+
+
+def _dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = index.parent_counts(files(spark, sf_dir))
+    n = F.col("children")
+    return counts.select(
+        F.col("parent").alias("path"), F.when(n % 4 == 0, "L0").when(n % 4 == 3, "L2").otherwise("L1").alias("tier"), n.alias("watch_cost"), (n * 1000).alias("last_event"),
+        F.pmod(n, F.lit(7)).alias("last_scan"), (n % 5 == 0).alias("promotion_pending"), (n % 8 == 0).alias("demotion_pending"),
+    )
+
+
+_DIRS = f"""{NAMED}, pc AS (SELECT parent AS path, count(*) AS n FROM files GROUP BY parent),
+dirs AS (SELECT path, CASE WHEN n % 4 = 0 THEN 'L0' WHEN n % 4 = 3 THEN 'L2' ELSE 'L1' END AS tier, n AS watch_cost, n * 1000 AS last_event, n % 7 AS last_scan,
+  n % 5 = 0 AS promotion_pending, n % 8 = 0 AS demotion_pending FROM pc)"""
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _events(spark, sf_dir).select(F.when(F.col("event_type") == "modify", "query").otherwise("event").alias("kind"), (F.col("size") + 1).alias("micros"))
+    return status.metrics(log)
+
+
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "doc_id")
+
+
+def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files(spark, sf_dir).select("path", "size")
+    newer = rows.where("size % 3 = 0").withColumn("size", -F.col("size"))
+    return overlay.layered([(rows, None), (newer, rows.where("size % 3 = 1").select("path"))])
+
+
+def _under_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).select("path", longest_root(F.col("path"), ["/corpus", "/corpus/src1", "/corpus/src1/en"]).alias("root"))
+
+
+def _excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = normalize(files(spark, sf_dir))
+    return rows.where(~excluded(F.col("segs"))).select("path", "size")
+
+
+add("delta_latest_state", _delta_latest_state, f"{_STATES} SELECT path, seq, live, ino, size FROM {_latest_sql('true')}")
+add("event_coalesce", _event_coalesce, f"{_STATES} SELECT ev.seq, ev.event_type, ev.path, ev.from_path FROM {_latest_sql('true')} l JOIN ev ON ev.path = l.path AND ev.seq = l.seq WHERE NOT l.gone")
+add("wal_dedup", _wal_dedup, f"""{EVENTS}, k AS (SELECT path, date_trunc('day', ts) AS t, max(seq) AS pos FROM ev GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY k.pos) AS seq, ev.path, ev.size FROM k JOIN ev ON ev.seq = k.pos""")
+_MOVES = EVENTS + """, raw AS (SELECT seq, TIMESTAMP '2024-01-01' + to_seconds(seq % 5000) AS ts, path, CASE WHEN event_type IN ('delete', 'rename') THEN ino // 70 END AS cookie,
+  CASE event_type WHEN 'delete' THEN 'rename_from' WHEN 'rename' THEN 'rename_to' ELSE event_type END AS event_type FROM ev),
+lagged AS (SELECT *, lag(event_type) OVER w AS k, lag(path) OVER w AS p, lag(ts) OVER w AS t FROM raw WHERE cookie IS NOT NULL WINDOW w AS (PARTITION BY cookie ORDER BY seq)),
+tos AS (SELECT seq, path, CASE WHEN k = 'rename_from' AND ts < t + INTERVAL 600 SECOND THEN p END AS from_path FROM lagged WHERE event_type = 'rename_to')"""
+add("rename_pairing", _rename_pairing, f"{_MOVES} SELECT seq, event_type, path, NULL AS from_path FROM raw WHERE cookie IS NULL UNION ALL SELECT seq, CASE WHEN from_path IS NULL THEN 'modify' ELSE 'rename' END, path, from_path FROM tos")
+add("visible_files", _visible, f"{_VISIBLE} SELECT path, ino, size FROM visible")
+add("visible_search", _visible_search, f"{_VISIBLE} SELECT path, size FROM visible WHERE contains(path, 'f3') AND size < 50 AND NOT contains(path, 'u1')")
+add("dedup_first_seen", _first_seen, f"{NAMED} SELECT ino, path, size + 1 AS size FROM files")
+add("freshness", _freshness, f"{_SCAN} SELECT s.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN f.size = s.size THEN 'unchanged' ELSE 'changed' END AS state FROM scan s LEFT JOIN files f ON f.path = s.path")
+add("startup_repair", _repair, f"""{_SCAN}, st AS (SELECT f.path IS NULL OR f.size <> s.size AS c FROM scan s LEFT JOIN files f ON f.path = s.path)
+SELECT count(*) AS scanned, count(*) FILTER (c) AS changed, count(*) FILTER (c) / count(*)::DOUBLE AS changed_ratio, count(*) FILTER (c) / count(*)::DOUBLE > 0.3 AS escalate FROM st""")
+_DIRTY = "(parent LIKE '%/en' OR parent LIKE '%/lib')"
+add("delete_alignment", _delete_alignment, f"{_SCAN} SELECT path FROM files WHERE {_DIRTY} AND path NOT IN (SELECT path FROM scan)")
+add("fast_sync", _fast_sync, f"{_SCAN} SELECT path, size FROM files WHERE NOT {_DIRTY} UNION ALL SELECT path, size FROM scan WHERE {_DIRTY}")
+_JUMPS = f"{EVENTS}, s AS (SELECT DISTINCT seq FROM ev WHERE seq % 97 <> 0), g AS (SELECT seq, lag(seq) OVER (ORDER BY seq) AS p FROM s)"
+add("gap_detect", _gaps, f"{_JUMPS} SELECT p + 1 AS expected_seq, seq AS observed_seq, seq - p - 1 AS missing_count FROM g WHERE seq > p + 1")
+add("gap_first", _first_gap, f"{_JUMPS} SELECT p + 1 AS expected_seq, seq AS observed_seq, seq - p - 1 AS missing_count FROM g WHERE seq > p + 1 AND seq > 500 ORDER BY seq LIMIT 1")
+add("trigram_postings", _postings, f"{_TRIGRAMS} SELECT trigram, count(*) AS n FROM tri GROUP BY trigram")
+add("trigram_candidates", _candidates, f"{_TRIGRAMS} SELECT path FROM tri WHERE trigram IN ('746573', '657374', '737466', '746669', '66696C', '696C65') GROUP BY path HAVING count(*) = 6")
+add("parent_counts", lambda s, d: index.parent_counts(files(s, d)), f"{NAMED} SELECT parent, count(*) AS children FROM files GROUP BY parent")
+add("index_stats", lambda s, d: index.stats(files(s, d)), f"""{NAMED} SELECT count(*) AS file_count, count(DISTINCT parent) AS parents, CAST(sum(strlen(path)) AS BIGINT) AS path_bytes,
+  CAST(sum(size) AS BIGINT) AS total_size, count(*) FILTER (mtime IS NULL) AS without_time, max(depth) AS deepest FROM files""")
+add("watch_tier_report", lambda s, d: watch.report(_dirs(s, d), 400), f"""{_DIRS} SELECT count(*) FILTER (tier = 'L0') AS l0_dirs, count(*) FILTER (tier = 'L1') AS l1_dirs, count(*) FILTER (tier = 'L2') AS l2_dirs,
+  count(*) FILTER (tier = 'L3') AS l3_dirs, count(*) FILTER (promotion_pending) AS pending_promotions, CAST(coalesce(sum(watch_cost) FILTER (tier = 'L0'), 0) AS BIGINT) AS watched_dirs,
+  CAST(least(floor(coalesce(sum(watch_cost) FILTER (tier = 'L0'), 0) * 100 / 400), 100) AS BIGINT) AS budget_percent FROM dirs""")
+add("watch_expired", lambda s, d: watch.expired(_dirs(s, d), 20_000, 7_200), f"{_DIRS} SELECT path FROM dirs WHERE tier = 'L0' AND NOT demotion_pending AND 20000 - last_event > 7200")
+add("watch_next_scans", lambda s, d: watch.next_scans(_dirs(s, d), 10), f"{_DIRS} SELECT path FROM dirs WHERE tier = 'L1' AND NOT promotion_pending AND NOT demotion_pending ORDER BY last_scan, path LIMIT 10")
+add("watch_admission", lambda s, d: watch.admission(_dirs(s, d).select("path", "watch_cost"), 300))
+add("query_metrics", _metrics, f"""{EVENTS}, l AS (SELECT event_type = 'modify' AS q, size + 1 AS m FROM ev), t AS (SELECT count(*) FILTER (q) AS queries, CAST(sum(m) FILTER (q) AS BIGINT) AS query_micros,
+  count(*) FILTER (NOT q) AS events, CAST(sum(m) FILTER (NOT q) AS BIGINT) AS event_micros FROM l)
+SELECT *, query_micros // queries AS average_query_micros, event_micros // events AS average_event_micros FROM t""")
+add("content_dedup", _content, "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE octet_length(encode(text)) <= 10485760 GROUP BY text")
+add("layered_visibility", _layers, f"{NAMED} SELECT path, CASE WHEN size % 3 = 0 THEN -size ELSE size END AS size FROM files WHERE size % 3 <> 1")
+add("longest_root", _under_roots, f"""{NAMED} SELECT path, CASE WHEN starts_with(path, '/corpus/src1/en/') THEN '/corpus/src1/en' WHEN starts_with(path, '/corpus/src1/') THEN '/corpus/src1' ELSE '/corpus' END AS root FROM files""")
+add("excluded_components", _excluded, f"{NAMED} SELECT path, size FROM files WHERE NOT list_contains(segs, 'node_modules') AND NOT list_contains(segs, 'target')")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
