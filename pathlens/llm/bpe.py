@@ -19,6 +19,7 @@ U = np.uint64
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Unicode White_Space (fixed values).
 SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Pieces that a process keeps, about 30 bytes each, before it begins anew.
 MOST_PIECES = 1_500_000
 
 
@@ -70,13 +71,13 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, U)  # hashes of known pieces in order, where their ids begin, and how many
+        self.offset = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int32)
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.offset = np.zeros(1 << 16, np.int64)
-        self.length = np.zeros(1 << 16, np.int64)
-        self.used = self.filled = 0
+        self.filled = 0
 
-    def _add(self, hashes: list[int], pieces: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
         """Encodes new pieces: those that begin with a blank in one call, as each is split off again."""
         whole = [i for i, p in enumerate(pieces) if len(p) > 1 and p[0] == " " and p[1] != "'" and not p[1:].isspace()]
         ids: list = [None] * len(pieces)
@@ -97,14 +98,11 @@ class Encoder:
         flat = np.concatenate(ids)
         while self.filled + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.used + len(ids) > len(self.offset):
-            self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
         self.flat[self.filled : self.filled + len(flat)] = flat
-        self.offset[self.used : self.used + len(ids)] = self.filled + np.cumsum(lengths) - lengths
-        self.length[self.used : self.used + len(ids)] = lengths
-        self.known.update(zip(hashes, range(self.used, self.used + len(ids))))
-        self.used += len(ids)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.offset = np.insert(self.offset, at, self.filled + np.cumsum(lengths) - lengths)
+        self.length = np.insert(self.length, at, lengths)
         self.filled += len(flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -128,18 +126,16 @@ class Encoder:
         edges = split(points, starts[:-1])
         begin, end = edges[:-1], edges[1:]
         hashes, index, inverse = np.unique(textkit.span_hashes(points, begin, end), return_index=True, return_inverse=True)
-        if self.used > MOST_PIECES:
+        if len(self.keys) > MOST_PIECES:
             self._clear()
-        numbers = list(map(self.known.get, listed := hashes.tolist()))
-        new = [i for i, x in enumerate(numbers) if x is None]
-        if new:
+        at = np.minimum(np.searchsorted(self.keys, hashes), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[at] != hashes) if len(self.keys) else np.arange(len(hashes))
+        if len(new):
             joined = "".join(texts)
-            at = index[new]
-            self._add([listed[i] for i in new], [joined[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())])
-            for i in new:
-                numbers[i] = self.known[listed[i]]
-        piece = np.array(numbers, np.int64)[inverse]
-        length = self.length[piece]
+            where = index[new]
+            self._add(hashes[new], [joined[x:y] for x, y in zip(begin[where].tolist(), end[where].tolist())])
+        piece = np.searchsorted(self.keys, hashes)[inverse]
+        length = self.length[piece].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(length)))
         ids = self.flat[np.repeat(self.offset[piece] - total[:-1], length) + np.arange(total[-1])]
         cut = total[np.searchsorted(begin, starts)]
