@@ -61,25 +61,28 @@ def draw(key: Column, seed: str) -> Column:
 
 
 def with_copies(documents: DataFrame, seed: str = "mix-1", keep: tuple[str, ...] = ("doc_id",), **shape) -> DataFrame:
-    """``keep`` columns of each document with source_size, target, size and copies."""
-    sized = documents.select(*keep, *(["source"] if "source" not in keep else []), word_count(F.col("text")).alias("size"))
-    targets = source_targets(sized.select("source", "size"), **shape)
-    joined = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
+    """``keep`` columns of each document, and __size, __source_size, __target, __copies."""
+    sized = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"))
+    targets = source_targets(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), **shape)
+    joined = sized.alias("d").join(targets.alias("t"), F.col("d.__source").eqNullSafe(F.col("t.source")))
     rate = F.col("t.rate")
-    copies = F.floor(rate) + (draw(F.col("d.doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select(*(F.col(f"d.{c}").alias(c) for c in keep), F.col("d.size").alias("size"), F.col("t.source_size").alias("source_size"), F.col("t.target").alias("target"), copies.alias("copies"))
+    copies = F.floor(rate) + (draw(F.col("d.__id"), seed) < rate - F.floor(rate)).cast("long")
+    added = (F.col("d.__size"), F.col("t.source_size").alias("__source_size"), F.col("t.target").alias("__target"), copies.alias("__copies"))
+    return joined.select(*(F.col(f"d.`{c}`").alias(c) for c in keep), *added)
 
 
 def mix(documents: DataFrame, seed: str = "mix-1", **shape) -> DataFrame:
     """The mixed corpus: every document as often as its draw says, columns as given."""
     columns = documents.columns
     counted = with_copies(documents, seed, keep=tuple(columns), **shape)
-    return counted.where("copies > 0").select("*", F.explode(F.expr("sequence(1, copies)")).alias("__copy")).select(*columns)
+    return counted.where("__copies > 0").select("*", F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def report(documents: DataFrame, seed: str = "mix-1", **shape) -> DataFrame:
     """Per document: what the mix takes of it, in words."""
-    return with_copies(documents, seed, **shape).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    names = {"__size": "size", "__source_size": "source_size", "__target": "target", "__copies": "copies"}
+    counted = with_copies(documents, seed, **shape).withColumnsRenamed(names)
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 ORACLE = r"""

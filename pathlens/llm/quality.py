@@ -131,16 +131,16 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> gam.Mo
     return gam.fit(x[order], rows["label"].to_numpy(float)[order])
 
 
-def _scores(batches, model: gam.Model):
+def _scores(batches, model: gam.Model, name: str):
     for batch, texts in arrowkit.pieces(batches, "text"):
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(features(texts)))], [*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(features(texts)))], [*batch.schema.names, name])
 
 
-def with_score(documents: DataFrame, model: gam.Model) -> DataFrame:
-    """``documents`` with ``score``; a column of that name is replaced."""
-    rest = [f for f in documents.schema.fields if f.name != "score"]
+def with_score(documents: DataFrame, model: gam.Model, name: str = "score") -> DataFrame:
+    """``documents`` with a score; a column of its name is replaced."""
+    rest = [f for f in documents.schema.fields if f.name != name]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return documents.select(*(f"`{f.name}`" for f in rest)).mapInArrow(partial(_scores, model=model), f"{schema}, score double")
+    return documents.select(*(f"`{f.name}`" for f in rest)).mapInArrow(partial(_scores, model=model, name=name), f"{schema}, `{name}` double")
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,4 +150,5 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, columns as given."""
-    return with_score(documents, train(documents, labels)).where(F.col("score") >= CUT).select(*documents.columns)
+    scored = with_score(documents, train(documents, labels), "__quality")
+    return scored.where(F.col("__quality") >= CUT).select(*(f"`{c}`" for c in documents.columns))
