@@ -281,7 +281,7 @@ def _design_rows(batches, model: Model):
         yield pa.RecordBatch.from_arrays([pa.array(np.split(cols[order], cut), pa.list_(pa.int64())), pa.array(np.split(values[order], cut), pa.list_(pa.float64())), batch.column(1)], ["cols", "vals", "label"])
 
 
-def _logistic(rows, cols, values, y, width: int, steps: int = 400, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def _logistic(rows, cols, values, y, width: int, steps: int = 400, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept by Adam on the whole sample."""
     w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
