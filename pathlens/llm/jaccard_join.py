@@ -5,7 +5,7 @@ have a Jaccard similarity of ``threshold`` or more.
 
 1. Texts with equal sets collapse to one *class representative* (a count with
    map-side combining, so thousands of copies cost no more than one).
-2. A set is embedded as ``COORDINATES`` minhash values. In each run a tree is
+2. A set is embedded as ``COORDINATES`` minhash values, whose low bytes are its signature. In each run a tree is
    walked from a root: at a node every coordinate is kept with a small chance
    that depends on the path and the coordinate only, and sets with the same
    value there go to the same child. About ``BRANCH`` children are taken.
@@ -87,9 +87,10 @@ def set_key(shingles: np.ndarray) -> bytes:
 def _sketch(batches):
     for batch, texts in arrowkit.pieces(batches, "text"):
         sets = list(textkit.shingle_sets(texts, WORDS))
+        marks = [signature(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
-            ["doc_id", "text_key", "set_key", "signature"],
+            [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in marks], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in marks], pa.binary())],
+            ["doc_id", "text_key", "set_key", "signature", "low"],
         )
 
 
@@ -144,7 +145,7 @@ def _compare_signatures(batches, threshold: float):
     out_b: list[bytes] = []
     for node in arrowkit.groups(batches, "path"):
         keys = node.column("set_key").to_pylist()
-        low = np.frombuffer(b"".join(node.column("signature").to_pylist()), np.uint32).reshape(len(keys), COORDINATES)
+        low = np.frombuffer(b"".join(node.column("low").to_pylist()), np.uint8).reshape(len(keys), COORDINATES)
         left, right = [], []
         for i in range(len(keys) - 1):
             near = np.flatnonzero((low[i + 1 :] == low[i]).sum(axis=1) >= need) + i + 1
@@ -225,10 +226,10 @@ def candidate_edges(sketches: DataFrame, work: Work, threshold: float, recall: f
     runs = runs_for(recall, threshold)
     rows, found = sketches, None
     for depth in range(1, DEPTH + 1):
-        paths = work.save(rows.mapInArrow(partial(_split, runs=runs), "set_key binary, path long"), f"paths{depth}")
+        paths = work.save(rows.drop("low").mapInArrow(partial(_split, runs=runs), "set_key binary, path long"), f"paths{depth}")
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("head")).where("n > 1")
         sizes = work.save(sizes, f"nodes{depth}")
-        small = paths.join(sizes.where(F.col("n") <= LIMIT).select("path"), "path").join(sketches, "set_key").select("path", "set_key", "signature")
+        small = paths.join(sizes.where(F.col("n") <= LIMIT).select("path"), "path").join(sketches.select("set_key", "low"), "set_key").select("path", "set_key", "low")
         edges = small.repartition("path").sortWithinPartitions("path").mapInArrow(partial(_compare_signatures, threshold=threshold), "a binary, b binary")
         large = paths.join(sizes.where(F.col("n") > LIMIT).select("path", "head"), "path")
         if depth == DEPTH:
@@ -252,10 +253,10 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     spark = documents.sparkSession
     work = Work(spark, "jaccard")
     source = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_key"), text_of(documents).alias("text"))
-    sketch = work.save(source.mapInArrow(_sketch, "doc_id long, text_key long, set_key binary, signature binary"), "sketch")
+    sketch = work.save(source.mapInArrow(_sketch, "doc_id long, text_key long, set_key binary, signature binary, low binary"), "sketch")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    heads = work.save(sketch.groupBy("set_key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")), "heads")
-    sketches = heads.select("set_key", "signature")
+    heads = work.save(sketch.groupBy("set_key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("low").alias("low")), "heads")
+    sketches = heads.select("set_key", "signature", "low")
     near = candidate_edges(sketches, work, threshold, recall)
     tied = graph.components(near, work)
     sizes = tied.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
