@@ -229,7 +229,8 @@ def candidate_edges(sketches: DataFrame, work: Work, threshold: float, recall: f
         paths = work.save(rows.drop("low").mapInArrow(partial(_split, runs=runs), "set_key binary, path long"), f"paths{depth}")
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("head")).where("n > 1")
         sizes = work.save(sizes, f"nodes{depth}")
-        small = paths.join(sizes.where(F.col("n") <= LIMIT).select("path"), "path").join(sketches.select("set_key", "low"), "set_key").select("path", "set_key", "low")
+        # all three sides grow with the corpus, so none is ever broadcast
+        small = paths.join(sizes.where(F.col("n") <= LIMIT).select("path").hint("merge"), "path").join(sketches.select("set_key", "low").hint("merge"), "set_key").select("path", "set_key", "low")
         edges = small.repartition("path").sortWithinPartitions("path").mapInArrow(partial(_compare_signatures, threshold=threshold), "a binary, b binary")
         large = paths.join(sizes.where(F.col("n") > LIMIT).select("path", "head"), "path")
         if depth == DEPTH:
