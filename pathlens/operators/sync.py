@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathlens.functions.paths import normalize
 
+from . import events as ev
 from .overlay import KEY
 
 IMMEDIATE_DIRS, IMMEDIATE_ENTRIES = 10, 10_000
@@ -69,6 +70,25 @@ def fast_sync(base: DataFrame, dirty: DataFrame, current: DataFrame) -> DataFram
     return rest.unionByName(current.select(*base.columns))
 
 
+def verify_and_repair(base: DataFrame, events: DataFrame, verified: int, read_dirs) -> tuple[DataFrame, dict]:
+    """The index after a check of the event numbers, and a report.
+
+    If a number is missing after ``verified``, the directories of the events (all,
+    if there are too many) are read again with ``read_dirs(dirs or None)``.
+    """
+    gap = ev.first_gap(events, verified).first()
+    top = events.agg(F.max("seq")).first()[0] or verified
+    report = {"verified": max(top, verified), "gap": gap and gap.asDict()}
+    if gap is None:
+        return base, report
+    dirs = ev.repair_scope(events)
+    current = read_dirs(dirs)
+    if dirs is None:
+        return current.select(*base.columns), report
+    dirty = base.sparkSession.createDataFrame([(d,) for d in dirs], "path string")
+    return fast_sync(base, dirty, current), report
+
+
 def bounded(entries: DataFrame, most: int = IMMEDIATE_ENTRIES) -> DataFrame:
     """At most ``most`` entries of each scanned directory (``dir``), by path."""
     order = Window.partitionBy("dir").orderBy("path")

@@ -23,6 +23,20 @@ def watch_cost(dirs: DataFrame, root: str, most: int) -> DataFrame:
     return dirs.where(is_under(F.col("path"), root)).limit(most).agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("watch_cost"))
 
 
+def hot_candidates(dirs: DataFrame, asked: list[str], roots: list[str], exclude_dirs: list[str] | None = None) -> DataFrame:
+    """The asked-for directories that exist, lie under a root and have no excluded component; the roots if none does."""
+    from functools import reduce
+    from operator import or_
+
+    from pathlens.functions.exclude import excluded
+    from pathlens.functions.paths import components, is_under
+
+    path = F.col("path")
+    there = dirs.select("path").distinct().where(~excluded(components(path), exclude_dirs))
+    found = there.where(path.isin(*asked) & reduce(or_, (is_under(path, r) for r in roots), F.lit(False)))
+    return there.where(path.isin(*roots)) if found.isEmpty() else found
+
+
 def admission(candidates: DataFrame, budget: int, groups: list[str] | None = None) -> DataFrame:
     """(path, watch_cost, admitted): in order of path, each candidate that still fits is admitted.
 

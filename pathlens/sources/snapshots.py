@@ -125,6 +125,21 @@ class Snapshots:
         paths = [f"{self.store.base}/wal/seal={n}" for n in ids if n > since]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def recover(self, since: int) -> tuple[DataFrame | None, int]:
+        """Like ``replay``, leaving out files that cannot be read, and how many those are.
+
+        Any such file means that the log is not whole, and a repair scan is due.
+        """
+        log = self.replay(since)
+        if log is None:
+            return None, 0
+        reader = self.spark.read.schema(log.schema).option("ignoreCorruptFiles", "true")
+        rows = reader.parquet(*{f.rsplit("/", 1)[0] for f in log.inputFiles()})
+        read = rows.groupBy(F.input_file_name().alias("f")).agg(F.max(F.xxhash64(*log.columns)))  # all columns, so that damage shows
+        whole = {r.f for r in read.collect()}
+        kept = self.spark.read.schema(log.schema).parquet(*sorted(whole)) if whole else log.limit(0)
+        return kept, len(set(log.inputFiles()) - whole)
+
     def forget(self, up_to: int) -> None:
         """Deletes the segments that a snapshot has taken in."""
         for name in self.store.names("wal"):

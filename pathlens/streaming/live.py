@@ -75,6 +75,38 @@ def pair_renames_in_state(raw: DataFrame, seconds: int = ev.PAIR_SECONDS) -> Dat
     return plain.unionByName(paired)
 
 
+def discovered(batch: DataFrame, scan_dirs: Callable[[list[str]], DataFrame], most: int = 10) -> tuple[DataFrame | None, bool]:
+    """Creations for what lies in directories (``is_dir``) that appear in a batch, and whether all were read.
+
+    At most ``most`` directories are read here; more call for a scan of their own.
+    """
+    new = batch.where("is_dir AND event_type IN ('create', 'rename')").select("path").distinct()
+    dirs = [r.path for r in new.orderBy("path").limit(most + 1).collect()]
+    if not dirs:
+        return None, True
+    found = scan_dirs(dirs[:most])
+    return found.withColumn("event_type", F.lit("create")), len(dirs) <= most
+
+
+class RebuildGate:
+    """Lets one rebuild run at a time, at least ``cooldown`` seconds apart; requests in between become one."""
+
+    def __init__(self, cooldown: float = 60.0):
+        self.cooldown, self.last, self.running, self.asked = cooldown, float("-inf"), False, False
+
+    def request(self, now: float) -> bool:
+        if self.running or now - self.last < self.cooldown:
+            self.asked = True
+            return False
+        self.running, self.asked, self.last = True, False, now
+        return True
+
+    def finished(self, now: float) -> bool:
+        """Ends a rebuild; whether another one was asked for meanwhile."""
+        self.running, self.last = False, now
+        return self.asked
+
+
 @dataclass
 class Pipeline:
     """A running table: snapshots, and what has gathered since the last one."""

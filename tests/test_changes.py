@@ -187,3 +187,16 @@ def test_layers(spark):
 def test_estimates(spark, scope):
     df = table(spark, [(1, "rename", "/ab", "/é", 1, 1), (2, "modify", None, None, 1, 1)])
     assert [r[0] for r in df.orderBy("seq").select(ev.estimated_bytes()).collect()] == [6, 16]
+
+
+def test_gap_repair_and_hot_directories(spark):
+    b = base(spark, [("/x/a", 1, 1), ("/x/b", 2, 1), ("/y/c", 3, 1)])
+    current = base(spark, [("/x/a", 1, 9)])
+    log = table(spark, [(5, "modify", "/x/a", None, 1, 1), (8, "modify", "/x/b", None, 2, 1)])
+    files, report = sync.verify_and_repair(b, log, 4, lambda dirs: current if dirs == ["/x"] else None)
+    assert sorted((r.path, r.size) for r in files.collect()) == [("/x/a", 9), ("/y/c", 1)]
+    assert report == {"verified": 8, "gap": {"expected_seq": 6, "observed_seq": 8, "missing_count": 2}}
+    assert sync.verify_and_repair(b, log.where("seq = 5"), 4, None)[1]["gap"] is None
+    dirs = spark.createDataFrame([("/r",), ("/r/hot",), ("/r/target/x",), ("/s/hot",)], "path string")
+    assert [r.path for r in watch.hot_candidates(dirs, ["/r/hot", "/r/target/x", "/s/hot"], ["/r"]).collect()] == ["/r/hot"]
+    assert [r.path for r in watch.hot_candidates(dirs, [], ["/r"]).collect()] == ["/r"]

@@ -11,7 +11,7 @@ from pathlens.sources import config
 from pathlens.sources.fsscan import scan, scan_report
 from pathlens.sources.ignore import IgnoreFilter, parse_rule
 from pathlens.sources.snapshots import ConflictError, Snapshots, should_flush, should_snapshot
-from pathlens.streaming.live import Pipeline, pair_renames_in_state
+from pathlens.streaming.live import Pipeline, RebuildGate, discovered, pair_renames_in_state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -149,3 +149,28 @@ def test_rename_pairing_across_batches(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r.event_type, r.path, r.from_path) for r in spark.table("pairs").collect()}
     assert got == {("create", "/n", None), ("rename", "/b", "/a"), ("modify", "/x", None)}
+
+
+def test_log_with_a_damaged_file(spark, tmp_path):
+    s = Snapshots(spark, str(tmp_path / "s"))
+    s.append(log(spark, (1, "create", "/a", None, 1, 1)).coalesce(1))
+    s.append(log(spark, (2, "create", "/b", None, 2, 1)).coalesce(1))
+    part = sorted((tmp_path / "s/wal/seal=1").glob("part-*"))[0]
+    whole, damaged = s.recover(0)
+    assert whole.count() == 2 and damaged == 0
+    crc = part.with_name(f".{part.name}.crc")
+    crc.unlink()
+    data = bytearray(part.read_bytes())
+    data[4:60] = bytes(56)
+    part.write_bytes(bytes(data))
+    rows, damaged = s.recover(0)
+    assert damaged == 1 and rows.count() == 1
+
+
+def test_discovery_and_rebuild_gate(spark):
+    batch = spark.createDataFrame([("create", "/d", True), ("create", "/f", False), ("delete", "/g", True)], "event_type string, path string, is_dir boolean")
+    found, whole = discovered(batch, lambda dirs: spark.createDataFrame([(d + "/x",) for d in dirs], "path string"))
+    assert whole and [(r.path, r.event_type) for r in found.collect()] == [("/d/x", "create")]
+    assert discovered(batch.where("NOT is_dir"), None) == (None, True)
+    gate = RebuildGate(60)
+    assert gate.request(0) and not gate.request(1) and gate.finished(5) and not gate.request(30) and gate.request(70)
