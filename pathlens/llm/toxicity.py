@@ -230,9 +230,9 @@ def _gram_rows(batches, lm: np.ndarray):
     for batch, texts in arrowkit.pieces(batches, "text", 4_000_000):
         label = np.array(batch.column(1).to_pylist())
         for first, n, owner, gram, _ in gram_hits(texts, lm_id):
-            pairs = np.unique(np.stack([gram, owner.astype(U)]), axis=1)
-            keys, index = np.unique(pairs[0], return_inverse=True)
-            y = label[first + pairs[1].astype(int)]
+            _, once = np.unique(textkit.mix(gram ^ textkit.mix(owner.astype(U) + U(1))), return_index=True)
+            keys, index = np.unique(gram[once], return_inverse=True)
+            y = label[first + owner[once]]
             yield out(keys, np.bincount(index, y, len(keys)).astype(np.int64), np.bincount(index, 1 - y, len(keys)).astype(np.int64))
 
 
