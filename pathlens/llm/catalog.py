@@ -48,7 +48,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "copies", "repeated_words", "spans")
+    return suffixes.repeats(table(spark, sf_dir, "documents"), within=True).select("doc_id", "n_words", "copies", "repeated_words", "spans")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:

@@ -1,29 +1,35 @@
 """Repeated passages by sparse suffix arrays.
 
-A passage of ``LENGTH`` words that stands in two texts is found as follows.
+A passage of ``LENGTH`` words that stands in two texts, or (``within``) twice in
+one text without overlap, is found as follows.
 
 1. Sparse suffixes: among any ``LENGTH`` words running, the run of ``GRAM``
    words with the least hash marks a suffix (a minimiser). The choice depends on
    the content only, so equal passages mark equal suffixes; about one word in
    twenty does.
 2. Suffixes are brought together by their first ``GRAM`` words, and those that
-   occur in one text only are dropped. Order inside a group of equal beginnings
-   carries no more information than equality, so it is grouped by hash instead
-   of sorted by letters: that combines on the map side, and a passage that a
-   third of all texts share costs each task one row.
+   occur in one text only, at places less than ``LENGTH`` words apart, are
+   dropped. Order inside a group of equal beginnings carries no more information
+   than equality, so it is grouped by hash instead of sorted by letters: that
+   combines on the map side, and a passage that a third of all texts share costs
+   each task one row.
 3. Matches are extended left and right: every run of ``LENGTH`` words around a
    remaining suffix (each run belongs to exactly one) is compared with its equals
-   in other texts in the same way.
+   in the same way.
 4. Adjoining runs of a text merge into its repeated spans.
 
-Every passage of ``LENGTH`` words or more that two different texts share is
-found, whole, with no cap on how many texts share it. Texts that are equal as a
-whole are compared once; each of them is one repeated span if long enough.
+Every passage of ``LENGTH`` words or more that two different texts share, or that
+one text holds at two places which do not overlap, is found, whole, with no cap on
+how many texts share it; all places of such a run are reported. Texts that are
+equal as a whole are compared once; each of them is one repeated span if long
+enough.
 
 Defined cases: null texts count as empty; texts of fewer than ``LENGTH`` words
-have no spans; passages that repeat only inside one text are not reported; rows
-that repeat a doc_id and its text are one document; null doc_ids are kept; an
-empty table gives an empty result; other columns are ignored.
+have no spans; passages that repeat only inside one text are reported if
+``within`` is set, as op9 does; a run that meets itself only in overlapping
+places does not repeat; rows that repeat a doc_id and its text are one document;
+null doc_ids are kept; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -103,15 +109,20 @@ def _spans(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["text_key", "spans"])
 
 
-def shared(rows: DataFrame, key: str) -> DataFrame:
-    """The values of ``key`` that occur with two texts."""
-    ends = rows.groupBy(key).agg(F.min("text_key").alias("__low"), F.max("text_key").alias("__high"))
-    return ends.where("__low <> __high").select(key)
+def shared(rows: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """The values of ``key`` that occur with two texts, or LENGTH or more apart by ``place`` in one."""
+    ends = [F.min("text_key").alias("__low"), F.max("text_key").alias("__high")]
+    if place is None:
+        return rows.groupBy(key).agg(*ends).where("__low <> __high").select(key)
+    # where there is one text only, the first and last place are its own
+    ends += [F.min(place).alias("__first"), F.max(place).alias("__last")]
+    return rows.groupBy(key).agg(*ends).where(f"__low <> __high OR __last - __first >= {LENGTH}").select(key)
 
 
-def repeats(documents: DataFrame) -> DataFrame:
+def repeats(documents: DataFrame, within: bool = False) -> DataFrame:
     """Per document with a repeated passage: doc_id, text_key, n_words, copies (documents of
-    equal text), spans (word ranges, end exclusive) and repeated_words."""
+    equal text), spans (word ranges, end exclusive) and repeated_words. Passages that repeat inside one
+    text only count if ``within``."""
     spark = documents.sparkSession
     work = Work(spark, "suffixes")
     source = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_key"), text_of(documents).alias("text"))
@@ -120,13 +131,13 @@ def repeats(documents: DataFrame) -> DataFrame:
     heads = ids.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     suffixes = docs.select("text_key", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("text_key", F.col("s.grams").alias("gram"), F.col("s.places").alias("place"))
     # written tables on both sides, so that a gram of very many texts can be split at run time
-    grams = work.save(shared(suffixes, "gram"), "grams")
+    grams = work.save(shared(suffixes, "gram", "place" if within else None), "grams")
     places = suffixes.join(grams, "gram").groupBy("text_key").agg(F.collect_set("place").alias("places"))
     wanted = places.join(heads.select("text_key", "head"), "text_key").select(F.col("text_key").alias("__key"), "head", "places")
     # texts grow with the corpus, so neither side is ever broadcast
     texts = source.join(wanted.hint("merge"), source["doc_id"].eqNullSafe(wanted["head"]) & (source["text_key"] == wanted["__key"])).select("text_key", "text", "places")
     runs = work.save(texts.mapInArrow(_runs, "run long, text_key long, start int"), "runs")
-    equal = work.save(shared(runs, "run"), "equal")
+    equal = work.save(shared(runs, "run", "start" if within else None), "equal")
     found = runs.join(equal, "run").groupBy("text_key").agg(F.collect_set("start").alias("starts")).mapInArrow(_spans, "text_key long, spans array<struct<start:int,end:int>>")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     placed = ids.join(heads.select("text_key", "copies"), "text_key").join(found, "text_key", "left")

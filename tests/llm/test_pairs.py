@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from pathlens.llm import decontaminate, jaccard_join, suffixes, textkit
+from pathlens.llm import catalog, decontaminate, jaccard_join, suffixes, textkit
 
 DOCS = "doc_id long, text string, source string, copies int, signature string, score double"
 
@@ -146,6 +146,40 @@ def test_suffixes_equal_brute_force(spark, docs):
     assert got == want
 
 
+def test_repeats_within_a_text_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, period = fresh(63), fresh(49), fresh(30)
+    texts = [fresh(20) + p + fresh(40) + p + fresh(5), p[:50] + p[:50], q + fresh(60) + q, period * 3 + period[:19], period[::-1] * 4, fresh(200)]
+    texts += [fresh(9) + texts[5][40:110] + fresh(3) + texts[5][40:110], ["lone"] * 99, ["more"] * 100]
+    texts = [" ".join(t) for t in texts] + [t or "" for _, t, *_ in corpus()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = defaultdict(set)
+    for t in texts:
+        w = words_of(t)
+        for k in range(len(w) - 49):
+            places[tuple(w[k : k + 50])].add((t, k))
+    want = {}
+    for i, t in enumerate(texts):
+        w, spans = words_of(t), []
+        for k in range(len(w) - 49):
+            at = places[tuple(w[k : k + 50])]
+            if len({x for x, _ in at}) > 1 or max(x for _, x in at) - min(x for _, x in at) >= 50:
+                if spans and k <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], k + 50)
+                else:
+                    spans.append((k, k + 50))
+        if texts.count(t) > 1 and len(w) >= 50:
+            spans = [(0, len(w))]
+        if spans:
+            want[i] = spans
+    found = lambda df: {r.doc_id: [(s.start, s.end) for s in r.spans] for r in df.collect()}
+    assert found(suffixes.repeats(docs, within=True)) == want
+    assert want[0] == [(20, 83), (123, 186)] and 2 not in want and 3 not in want and 4 in want and 7 not in want and want[8] == [(0, 100)]
+    monkeypatch.setattr(catalog, "table", lambda *_: docs)
+    assert found(catalog.op9_repeated_passages(spark, "")) == want
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
