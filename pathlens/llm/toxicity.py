@@ -2,10 +2,12 @@
 
 1. A character language model (trigram counts over words) is counted over all
    documents; it has a fixed alphabet, so its size does not follow the corpus.
-2. A disguised span (letters mixed with look-alike digits and signs, repeated
-   letters, letters spaced out) is a lattice: each sign may stand for some
-   letters, runs for one or two, separators between single letters for nothing.
-   Viterbi finds the restoration with the best sum of channel and language
+2. A disguised span is a lattice: each sign may stand for some letters, runs for
+   one or two, separators for nothing. Spans are all blank-
+   delimited tokens that mix letters with look-alikes, in any number and place;
+   three or more single letters or look-alikes, a letter among them, apart by
+   anything else; and words with a letter three times running or with two letters
+   doubled (one doubled letter is taken as spelling). Viterbi finds the restoration with the best sum of channel and language
    model scores; plain words are their own best restoration and are not decoded.
 3. The words of the text and of its restorations give grams (whole words, and
    their first 4 to 8 characters). A logistic model over those that labelled
@@ -49,18 +51,14 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x", "&": "a",
 }
-_SIGNS = re.escape("".join(LOOKALIKES))
-#: Costs in natural logarithms: a sign read as a letter, a run shortened by a letter, a separator dropped, a character kept.
+#: Costs in natural logarithms: a sign read as a letter, a run shortened by a letter, a separator read, a character dropped.
 COST_SIGN, COST_RUN, COST_GAP, COST_ODD = 0.7, 0.5, 0.2, 9.0
-_LETTER = r"[^\W\d_]"
-DISGUISED = re.compile(
-    rf"(?<![\w{_SIGNS}])(?:"
-    rf"[{_SIGNS}]?{_LETTER}+(?:[{_SIGNS}]{{1,2}}{_LETTER}+)+[$@0-9]?(?![\w@$])"  # signs among letters
-    rf"|[$@0-9]{_LETTER}{{3,}}(?![\w@])|{_LETTER}{{3,}}[$@0-9](?![\w@$])"  # one before or after them
-    rf"|{_LETTER}(?:[ ._\-*]{{1,2}}{_LETTER}(?!\w)){{2,30}}"  # spaced-out letters
-    rf"|{_LETTER}*({_LETTER})\1\1{_LETTER}*"  # a letter three times or more
-    r")"
-)
+#: A sign dropped where it often stands beside a word, or elsewhere at the rim; a sign between letters as separator, or as a word's edge.
+COST_RIM, COST_RIM_ODD, COST_BAR, COST_EDGE = 0.5, 2.0, 1.0, 3.0
+BEFORE, AFTER, BARS = "(#@*¡+|&$£€", "!*|+%€$£", "|+"
+#: A word's edge in a reading.
+EDGE = " "
+_BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 
 @lru_cache(maxsize=1)
@@ -116,7 +114,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 def lattice(span: str) -> list[list[tuple[str, float]]]:
-    """Readings (letters, cost) of each run of equal characters of a span."""
+    """Readings (letters or EDGE, cost) of each run of equal characters of a span."""
     out = []
     for m in re.finditer(r"(.)\1*", span, re.S):
         c, n = m.group(1), len(m.group())
@@ -126,75 +124,143 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
         for x, cost in letters:
             for times in (1, 2) if n > 1 else (1,):
                 readings[x * times] = min(readings.get(x * times, 99.0), cost + COST_RUN * max(0, n - times))
-        if not c.isalpha():
-            readings[""] = COST_GAP * n if c in " ._-*" else COST_ODD
+        if not letters:
+            readings[""] = COST_ODD if c.isdigit() else COST_GAP * n
+        elif not c.isalpha():
+            first, last = (not side or not (side.isalnum() or side in LOOKALIKES) for side in (span[m.start() - 1 : m.start()], span[m.end() : m.end() + 1]))
+            readings[""] = COST_GAP * n if c == "*" else COST_BAR * n if c in BARS else COST_ODD
+            if not c.isdigit():
+                if first or last:
+                    readings[""] = min(readings[""], COST_RIM if (first and c in BEFORE) or (last and c in AFTER) else COST_RIM_ODD)
         out.append(list(readings.items()))
     return out
 
 
-def decode(span: str, lm: np.ndarray) -> str:
-    """The restoration of a lower-case span with the least total cost."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(span: str, lm: list[float]) -> list[str]:
+    """The words of the restoration of a lower-case span with the least total cost."""
+    states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
     for readings in lattice(span):
-        step: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, said) in states.items():
-            for letters, extra in readings:
-                x, y, now = a, b, cost + extra
-                for c in letters:
-                    k = code(c)
-                    now -= float(lm[x, y, k])
-                    x, y = y, k
-                if (held := step.get((x, y))) is None or now < held[0]:
-                    step[x, y] = (now, said + letters)
+        step: dict[int, tuple[float, tuple | None]] = {}
+        for letters, extra in readings:
+            codes = [code(c) for c in letters] if letters != EDGE else None
+            for state, (cost, said) in states.items():
+                now = cost + extra
+                if codes is None:
+                    # an edge beside an edge is the same one
+                    now -= lm[state * SIZE] if state else 0.0
+                    state = 0
+                else:
+                    for k in codes:
+                        now -= lm[state * SIZE + k]
+                        state = state % SIZE * SIZE + k
+                if (held := step.get(state)) is None or now < held[0]:
+                    step[state] = (now, (said, letters) if letters else said)
         states = step
-    return min((cost - float(lm[a, b, 0]), said) for (a, b), (cost, said) in states.items())[1]
+    said = min(((cost - (lm[state * SIZE] if state else 0.0), state, said) for state, (cost, said) in states.items()), key=lambda x: x[:2])[2]
+    out = []
+    while said is not None:
+        said, letters = said
+        out.append(letters)
+    return "".join(reversed(out)).split()
 
 
-@lru_cache(maxsize=100_000)
-def _restored(span: str, lm_id: int) -> str:
-    return decode(span, _MODELS[lm_id])
+def stripped(token: str) -> str:
+    """A token without the brackets around it, and without underscores and signs that stand for nothing at its ends."""
+    kept = lambda c: c.isalnum() or c in LOOKALIKES
+    i, j = 0, len(token)
+    while i < j:
+        if j - i > 1 and _BRACKETS.get(token[i]) == token[j - 1]:
+            i, j = i + 1, j - 1
+        elif not kept(token[i]):
+            i += 1
+        elif not kept(token[j - 1]):
+            j -= 1
+        else:
+            break
+    return token[i:j]
 
 
-_MODELS: dict[int, np.ndarray] = {}
+def _decoded(span: str, lm_id: int) -> tuple[str, ...]:
+    """Restored words of a span, but for those that stand there as they are."""
+    span = stripped(span)
+    plain = set(re.findall(r"[^\W_]+", span))
+    return tuple(w for w in decode(span, _MODELS[lm_id]) if w not in plain)
 
 
-def restorations(text: str, lm_id: int) -> list[str]:
-    """Restored words of the disguised spans of a text, where they differ from what stands there."""
-    out = []
-    for m in DISGUISED.finditer(text):
-        span = m.group().lower()
-        if (word := _restored(span, lm_id)) and word != span:
-            out.append(word)
-    return out
+#: For the spans that come again; long ones are not kept.
+_restored = lru_cache(maxsize=100_000)(_decoded)
+_MODELS: dict[int, list[float]] = {}
 
 
 @lru_cache(maxsize=1)
-def _sign_table() -> np.ndarray:
-    out = np.zeros(0x110000, bool)
-    out[[ord(c) for c in LOOKALIKES]] = True
-    return out
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, a look-alike, a blank."""
+    sign, blank = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    sign[[ord(c) for c in LOOKALIKES]] = True
+    blank[[i for i in range(0x110000) if chr(i).isspace()]] = True
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000), sign, blank
+
+
+def disguised(words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end, in the lowered block, of the spans to decode."""
+    p = words.points
+    if not len(p):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    letters, signs, blanks = _tables()
+    letter, sign = letters[p], signs[p]
+    starts = words.starts[:-1][words.starts[:-1] < len(p)]
+    sums = lambda mask: np.concatenate(([0], np.cumsum(mask)))
+    n_letters, n_signs, n_alnum = sums(letter), sums(sign), sums(letter | ((p >= 48) & (p <= 57)))
+    # three or more units in a row that are one character, but for signs beside it
+    begin, end = textkit.spans(letter | sign, starts)
+    one = (end - begin == 1) | (n_alnum[end] - n_alnum[begin] == 1)
+    text = np.searchsorted(words.starts, begin, side="right")
+    new = np.ones(len(begin) + 1, bool)
+    new[1:-1] = ~(one[1:] & one[:-1] & (text[1:] == text[:-1]))
+    edges = np.flatnonzero(new)
+    long = np.diff(edges) >= 3
+    spaced_begin, spaced_end = begin[edges[:-1][long]], end[edges[1:][long] - 1]
+    some = n_letters[spaced_end] > n_letters[spaced_begin]
+    spaced_begin, spaced_end = spaced_begin[some], spaced_end[some]
+    # tokens that mix letters and look-alikes, if not within such a row
+    begin, end = textkit.spans(~blanks[p], starts)
+    mixed = (n_letters[end] > n_letters[begin]) & (n_signs[end] > n_signs[begin])
+    if len(spaced_begin):
+        row = np.searchsorted(spaced_end, begin, side="right")
+        at = np.minimum(row, len(spaced_begin) - 1)
+        mixed &= ~((row < len(spaced_begin)) & (spaced_begin[at] < end))
+    # words with a letter three times running, or two doubled ones, if not within such a token
+    double = np.flatnonzero((p[:-1] == p[1:]) & letter[:-1])
+    word = np.searchsorted(words.begin, double, side="right") - 1
+    word = np.unique(word[1:][(word[1:] == word[:-1]) & (double[1:] < words.end[word[1:]])]) if len(double) > 1 else np.zeros(0, np.int64)
+    token = np.searchsorted(begin, words.begin[word], side="right") - 1
+    word = word[~mixed[token]]
+    first = np.concatenate((spaced_begin, begin[mixed], words.begin[word]))
+    order = np.argsort(first, kind="stable")
+    return first[order], np.concatenate((spaced_end, end[mixed], words.end[word]))[order]
+
+
+def block_restorations(words: textkit.Words, lm_id: int) -> list[list[str]]:
+    """Per text of a block: restored words of its disguised spans, where they differ from what stands there."""
+    said: list[list[str]] = [[] for _ in range(len(words))]
+    begin, end = disguised(words)
+    owner = np.searchsorted(words.starts, begin, side="right") - 1
+    for i, a, b in zip(owner.tolist(), begin.tolist(), end.tolist()):
+        said[i] += (_restored if b - a <= 64 else _decoded)(words.points[a:b].tobytes().decode("utf-32-le", "surrogatepass"), lm_id)
+    return said
 
 
-def suspects(words: textkit.Words) -> np.ndarray:
-    """Texts of a block that may hold a disguised span; the pattern is tried on no others."""
-    p, found = words.points, []
-    if len(p) < 3:
-        return np.zeros(0, int)
-    letter = textkit.word_table()[p] & ~((p >= 48) & (p <= 57))
-    sign = _sign_table()[p]
-    found.append(np.flatnonzero((p[:-2] == p[1:-1]) & (p[1:-1] == p[2:]) & letter[:-2]))
-    found.append(np.flatnonzero((sign[:-1] & letter[1:]) | (letter[:-1] & sign[1:])))
-    one = (words.end - words.begin == 1) & letter[words.begin]
-    near = np.diff(words.begin) <= 3
-    found.append(words.begin[:-2][one[:-2] & one[1:-1] & one[2:] & near[:-1] & near[1:]] if len(one) > 2 else np.zeros(0, int))
-    return np.unique(np.searchsorted(words.starts, np.concatenate(found), side="right") - 1)
+def restorations(text: str, lm_id: int) -> list[str]:
+    """Restored words of the disguised spans of a text."""
+    return block_restorations(textkit.Words([text]), lm_id)[0]
 
 
 def _register(lm: np.ndarray) -> int:
     key = int(textkit.mix(np.array([lm.view(np.uint32).astype(U).sum()], U))[0] >> U(1))
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = lm
+        _restored.cache_clear()
+        _MODELS[key] = lm.ravel().tolist()
     return key
 
 
@@ -203,9 +269,7 @@ def gram_hits(texts: list[str], lm_id: int):
     for a, b in textkit.blocks(texts):
         part = texts[a:b]
         words = textkit.Words(part)
-        said: list[list[str]] = [[] for _ in part]
-        for i in suspects(words):
-            said[i] = restorations(part[i], lm_id)
+        said = block_restorations(words, lm_id)
         extra = textkit.Words([" ".join(w) for w in said]) if any(said) else None
         owners, grams = [], []
         for w in filter(None, (words, extra)):

@@ -211,6 +211,36 @@ def test_disguises_are_undone():
     assert toxicity.restorations("plain words, of a text. It ends!", at) == []
 
 
+def test_disguises_of_any_make_and_rate():
+    words = ["stupid", "clown", "idiot", "loser", "pathetic", "trash", "moron", "worthless", "disgusting", "coward"]
+    said = ["the stupid clown is an idiot and a loser and no saint", "pathetic worthless trash and a moron", "shit on your ass and other words of this text", "disgusting coward"] * 200
+    at = toxicity._register(toxicity.language_model(toxicity.trigram_counts(said)))
+    for said, meant in (
+        ("1d107", "idiot"), ("l053r", "loser"), ("l0$3r", "loser"), ("p4th371c", "pathetic"), ("w0r7hl3$$", "worthless"), ("57up1d", "stupid"), ("$7up1d", "stupid"), ("sh17", "shit"), ("!diot", "idiot"), ("@ss", "ass"),
+        ("(1d10t)", "idiot"), ("1d10t!!", "idiot"), ("_idi0t_", "idiot"), ("i_d_i_o_t", "idiot"), ("i/d/i/o/t", "idiot"), ("i\td\ti\to\tt", "idiot"), ("s - t - u - p - i - d", "stupid"), ("1 d 1 0 t", "idiot"), ("iddiioott", "idiot"),
+    ):
+        assert toxicity.restorations(f"well {said} you", at) == [meant], said
+    signs = {c: "".join(k for k, v in toxicity.LOOKALIKES.items() if c in v and k in "0134579@$!") for c in "abcdefghijklmnopqrstuvwxyz"}
+    rng = random.Random(5)
+    for rate in (0.2, 0.5, 0.8, 1.0):
+        right = tried = 0
+        while tried < 200:
+            word = rng.choice(words)
+            shown = "".join(rng.choice(signs[c]) if signs[c] and rng.random() < rate else c for c in word)
+            if shown != word and re.search("[a-z]", shown):
+                tried += 1
+                right += word in toxicity.restorations(f"well {shown} you", at)
+        assert right >= 0.95 * tried, (rate, right)
+
+
+def test_every_text_with_a_disguise_is_decoded():
+    at = toxicity._register(toxicity.language_model(toxicity.trigram_counts(["an idiot and a loser"] * 300)))
+    texts = ["", "an idiot", "1d107 and l053r", "i_d", " ", "i_d_i_o_t", "t 3 x t" + "!" * 9, "a" * 5000, "_" * 5000 + "1d10t"]
+    got = toxicity.block_restorations(toxicity.textkit.Words(texts), at)
+    assert [toxicity.restorations(t, at) for t in texts] == got
+    assert got[2] == ["idiot", "loser"] and got[5] == got[8] == ["idiot"] and got[0] == got[1] == got[4] == []
+
+
 # token store
 
 
