@@ -3,7 +3,7 @@
 1. A character language model (trigram counts over words) is counted over all
    documents; it has a fixed alphabet, so its size does not follow the corpus.
 2. A disguised span is a lattice: each sign may stand for some letters, runs for
-   one or two, separators for nothing. Spans are all blank-
+   one or two, separators for nothing or for a word's edge. Spans are all blank-
    delimited tokens that mix letters with look-alikes, in any number and place;
    three or more single letters or look-alikes, a letter among them, apart by
    anything else; and words with a letter three times running or with two letters
@@ -125,11 +125,12 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             for times in (1, 2) if n > 1 else (1,):
                 readings[x * times] = min(readings.get(x * times, 99.0), cost + COST_RUN * max(0, n - times))
         if not letters:
-            readings[""] = COST_ODD if c.isdigit() else COST_GAP * n
+            readings[""], readings[EDGE] = (COST_ODD if c.isdigit() else COST_GAP * n), COST_GAP
         elif not c.isalpha():
             first, last = (not side or not (side.isalnum() or side in LOOKALIKES) for side in (span[m.start() - 1 : m.start()], span[m.end() : m.end() + 1]))
             readings[""] = COST_GAP * n if c == "*" else COST_BAR * n if c in BARS else COST_ODD
             if not c.isdigit():
+                readings[EDGE] = COST_EDGE
                 if first or last:
                     readings[""] = min(readings[""], COST_RIM if (first and c in BEFORE) or (last and c in AFTER) else COST_RIM_ODD)
         out.append(list(readings.items()))

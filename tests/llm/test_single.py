@@ -241,6 +241,13 @@ def test_every_text_with_a_disguise_is_decoded():
     assert got[2] == ["idiot", "loser"] and got[5] == got[8] == ["idiot"] and got[0] == got[1] == got[4] == []
 
 
+def test_separators_may_be_edges_of_words():
+    words = ["the stupid clown is an idiot and you are a loser"] * 300
+    at = toxicity._register(toxicity.language_model(toxicity.trigram_counts(words)))
+    for said, meant in (("you are a i d i o t", ["idiot"]), ("s t u p i d c l o w n", ["stupid", "clown"]), ("s t u p i d   c l o w n", ["stupid", "clown"]), ("the s.t.u.p.i.d.c.l.o.w.n.a.n.d.l.o.s.e.r.i.s.a.n.i.d.i.o.t", ["stupid", "clown", "and", "loser", "is", "an", "idiot"]), ("1d10t-l0ser", ["idiot", "loser"])):
+        assert toxicity.restorations(said, at) == meant, said
+
+
 # token store
 
 
