@@ -11,7 +11,8 @@ kind    valid if                                       permuted, and what stays
 email   local part and dotted domain                   ASCII letters and digits of the local part; the domain stays
 iban    the remainder by 97 is 1                       account part, letter by letter, digit by digit; check digits are renewed
 card    13 to 19 digits, Luhn sum, issuer digits       all but the first two digits; the check digit is renewed
-phone   country code, area in brackets, or 3-3-4       the national digits; country code and punctuation stay
+phone   + and country code with 7 to 14 more digits,   the national digits; country code, punctuation and a leading 0 of
+        3-3-4 also with the area in brackets, 0d 4x2   0d dd dd dd dd stay
 ssn     area, group and serial in use                  all three, among those in use
 date    in the calendar, 1900-01-01 to 2100-05-01      the day, within these days
 ipv4    four numbers to 255                            all four
@@ -39,7 +40,13 @@ KEY = "example key"
 
 EMAIL = r"(?<![\w.%+-])[\p{L}\d_.%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+"
 IBAN = r"(?<![\w])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w])"
-PHONE = r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?![\w])"
+_GAP = r"[   ./()-]{0,2}"
+#: Where a country's length is fixed, so many digits are taken; what follows may be another number.
+_ABROAD = rf"(?<![\w+])\+(?:(?:1(?:{_GAP}\d){{10}}|3[34](?:{_GAP}\d){{9}}|44(?:{_GAP}\d){{10}})(?!\w)|[1-9](?:{_GAP}\d){{7,16}}+(?!\w))"
+_PAIRS = r"(?<![\w+(])0[1-9](?:[   .-]\d{2}){4}(?!\w|[.-]?\d)"
+PHONE = rf"{_ABROAD}|(?<![\w+(])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\)[ .-]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?!\w)|{_PAIRS}"
+#: What stays before the national digits.
+COUNTRY = r"^(?:\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|0(?=\d(?:\D\d{2}){4}$))"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)"
 DATE = r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w]|[/.-]\d)"
 CARD = r"(?<![\w.-])\d{4}(?:\d{9,15}|(?:[ -]\d{4}){3}|[ -]\d{6}[ -]\d{5})(?![\w]|[.-]\d)"
@@ -133,7 +140,16 @@ def card(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    return let(digits_of(m), lambda d: let(F.concat(F.substring(d, F.lit(1), F.length(d) - 10), permute_string(F.right(d, F.lit(10)), key, "phone")), lambda w: refill(m, w)))
+    # the country code is known by its digits, so that grouping does not matter
+    signed = F.regexp_replace(m, F.lit("[^0-9+]"), F.lit(""))
+    kept = digits_of(F.when(m.startswith("+"), F.regexp_extract(signed, COUNTRY, 0)).otherwise(F.regexp_extract(m, COUNTRY, 0)))
+
+    def of(d: Column, n: Column) -> Column:
+        national = F.substring(d, n + 1, F.length(d))
+        whole = let(permute_string(national, key, "phone"), lambda p: F.concat(F.substring(d, F.lit(1), n), p))
+        return F.when(F.length(national).between(7, 14), let(whole, lambda w: refill(m, w))).otherwise(m)
+
+    return let(digits_of(m), lambda d: let(F.length(kept), lambda n: of(d, n)))
 
 
 def ssn(m: Column, key: str) -> Column:

@@ -68,6 +68,25 @@ def test_other_kinds(spark):
     assert re.fullmatch(r"\d{3}-\d{2}-\d{4} 000-12-3456", ssn) and not ssn.startswith("123-45")
 
 
+def test_phones_in_any_grouping(spark):
+    same = ["+1 (743) 555-3824", "+1 743 555 3824", "+17435553824", "+1-743-555-3824", "(743) 555-3824", "743 555 3824", "743-555-3824"]
+    french = ["+33 6 12 34 56 78", "+33612345678", "+33 (6) 12.34.56.78", "06 12 34 56 78", "06.12.34.56.78"]
+    others = ["+49 30 1234567", "+49 (30) 123-4567", "+34 612 345 678", "+44 20 7946 0958", "+351 21 123 4567", "+33\u00a06\u00a012\u00a034\u00a056\u00a078"]
+    given = same + french + others
+    got = renamed(spark, *given)
+    for old, new in zip(given, got):
+        assert old != new and re.sub(r"\d", "d", old) == re.sub(r"\d", "d", new), (old, new)
+        kept = re.match(r"\+(1|33|34|44|49|351)|0(?=\d[ .])|", old).group()
+        assert new.startswith(kept)
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert len({x[-10:] for x in digits[: len(same)]}) == 1 and len({x[-9:] for x in digits[len(same) :][: len(french)]}) == 1
+    assert digits[12] == digits[13]
+    around = renamed(spark, "(+1 743 555 3824), 2 apples", "+33 6 12 34 56 78 2 fois", "tel: 06 12 34 56 78.", "a +49 30 1234567, b")
+    assert around[0] == f"({got[1]}), 2 apples" and around[1] == f"{got[7]} 2 fois" and around[2] == f"tel: {got[10]}." and around[3] == f"a {got[12]}, b"
+    clean = "+123 456, 1 + 2345678, +12345678901234567890 12 34 56 78 90 10 20 30 555 1234 +1 2"
+    assert renamed(spark, clean) == [clean]
+
+
 def test_key_and_clean_texts(spark):
     assert renamed(spark, "4465758382889437", key="a") != renamed(spark, "4465758382889437", key="b")
     clean = "v1.2.3 Version 2.0, 1234 and b44e15e09fd311c3cf3163b66d5a9875b883d8ce!"
