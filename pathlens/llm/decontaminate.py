@@ -12,8 +12,8 @@ Items are a stated query set. They go to the tasks in blocks of at most
 however many items there are; every block meets every text.
 
 Defined cases: null texts and items count as empty; items whose normalised form
-has fewer than ``LEAST_CHARS`` characters are no evidence and match nothing;
-equal items are matched each; null ids are kept; repeated rows give repeated
+has fewer than ``LEAST_CHARS`` characters match without edits and as whole words
+only; items without any word match nothing; equal items are matched each; null ids are kept; repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -84,7 +84,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], budget: float):
         import ahocorasick
 
-        self.items = [(i, t, *pieces(t, budget)) for i, t in items if len(t) >= LEAST_CHARS]
+        self.items = [(i, t, *pieces(t, budget if len(t) >= LEAST_CHARS else 0.0)) for i, t in items if t]
         self.patterns: dict[int, Pattern] = {}
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
@@ -107,6 +107,12 @@ class Matcher:
         out = []
         for number, diagonals in spots.items():
             item_id, item, k, parts = self.items[number]
+            if len(item) < LEAST_CHARS:
+                # words are joined by single blanks
+                at = next((d for d in diagonals if text[d - 1 : d] in ("", " ") and text[d + len(item) : d + len(item) + 1] in ("", " ")), None)
+                if at is not None:
+                    out.append((item_id, 0, at, at + len(item)))
+                continue
             if item in text:
                 at = text.index(item)
                 out.append((item_id, 0, at, at + len(item)))

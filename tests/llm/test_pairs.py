@@ -218,3 +218,12 @@ def test_decontamination_equals_brute_force(spark):
     assert got == want and want
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, *_ in rows} - {i for i, _ in want}
+
+
+def test_short_items_match_as_whole_words(spark):
+    items = [(1, "Short one"), (2, "four"), (3, None), (4, "..."), (5, "exactly 23 letters long")]
+    texts = ["a short one, here", "short ones", "a short", "Four", "fourth, twenty-four", "petit four four", "", None, "exactly 23 letters long", "exactly 23 letters lung"]
+    df, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in decontaminate.matches(df, bench).collect())
+    assert got == [(0, 1, 0, 2, 11), (3, 2, 0, 0, 4), (4, 2, 0, 14, 18), (5, 2, 0, 6, 10), (8, 5, 0, 0, 23)]
+    assert {r.doc_id for r in decontaminate.clean(df, bench).collect()} == {1, 2, 6, 7, 9}
