@@ -1,4 +1,4 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by hashed minimisers and runs of words, in place of a sparse suffix array.
 
 A passage of ``LENGTH`` words that stands in two texts, or (``within``) twice in
 one text without overlap, is found as follows.
@@ -10,12 +10,12 @@ one text without overlap, is found as follows.
 2. Suffixes are brought together by their first ``GRAM`` words, and those that
    occur in one text only, at places less than ``LENGTH`` words apart, are
    dropped. Order inside a group of equal beginnings carries no more information
-   than equality, so it is grouped by hash instead of sorted by letters: that
+   than equality here, so it is grouped by hash; no suffixes are sorted. That
    combines on the map side, and a passage that a third of all texts share costs
    each task one row.
-3. Matches are extended left and right: every run of ``LENGTH`` words around a
-   remaining suffix (each run belongs to exactly one) is compared with its equals
-   in the same way.
+3. In place of extending matches between neighbours, every run of ``LENGTH`` words
+   around a remaining suffix (each run belongs to exactly one) is hashed and
+   grouped in the same way.
 4. Adjoining runs of a text merge into its repeated spans.
 
 Every passage of ``LENGTH`` words or more that two different texts share, or that
