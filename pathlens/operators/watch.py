@@ -44,15 +44,16 @@ def admission(candidates: DataFrame, budget: int, groups: list[str] | None = Non
     Candidates are the hot directories of a configuration, some hundred at most.
     """
     keys = groups or []
-    rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", "watch_cost"))).alias("c"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<path:string,watch_cost:bigint,admitted:boolean>>").alias("out"))
+    rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("path", F.col("watch_cost").cast("long").alias("watch_cost")))).alias("c"))
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit("").alias("fits"))
 
     def step(a: Column, x: Column) -> Column:
-        cost = x["watch_cost"].cast("long")
-        fits = a["used"] + cost <= budget
-        return F.struct((a["used"] + F.when(fits, cost).otherwise(F.lit(0).cast("long"))).alias("used"), F.array_append(a["out"], F.struct(x["path"].alias("path"), cost.alias("watch_cost"), fits.alias("admitted"))).alias("out"))
+        fits = a["used"] + x["watch_cost"] <= budget
+        return F.struct((a["used"] + F.when(fits, x["watch_cost"]).otherwise(F.lit(0).cast("long"))).alias("used"), F.concat(a["fits"], F.when(fits, F.lit("1")).otherwise(F.lit("0"))).alias("fits"))
 
-    return rows.select(*keys, F.explode(F.aggregate("c", start, step, lambda a: a["out"])).alias("x")).select(*keys, "x.*")
+    # one character a candidate is all that the fold carries along
+    folded = rows.select(*keys, "c", F.split(F.aggregate("c", start, step, lambda a: a["fits"]), "").alias("fits"))
+    return folded.select(*keys, F.explode(F.arrays_zip("c", "fits")).alias("x")).where("x.c IS NOT NULL").select(*keys, "x.c.path", "x.c.watch_cost", (F.col("x.fits") == "1").alias("admitted"))
 
 
 def report(dirs: DataFrame, budget: int) -> DataFrame:
@@ -101,10 +102,15 @@ class WatchState:
         self.used += cost if tier == "L0" else 0
 
     def touch(self, path: str, now: int) -> None:
-        """An event under a watched directory renews it and those above it."""
-        for p, d in self.dirs.items():
-            if path == p or path.startswith(p.rstrip("/") + "/"):
+        """An event renews the watched directories (L0) that it lies in; scanned ones wait for their scan."""
+        at = path
+        while True:
+            d = self.dirs.get(at)
+            if d is not None and d.tier == "L0":
                 d.last_event, d.empty_scans = now, 0
+            if at in ("", "/"):
+                return
+            at = at.rpartition("/")[0] or "/"
 
     def register(self, path: str, cost: int, now: int) -> str:
         d = self.dirs.setdefault(path, Directory())

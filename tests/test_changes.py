@@ -105,6 +105,28 @@ def test_log_cleanup_and_gaps(spark):
     assert ev.repair_scope(many) is None
 
 
+def test_order_with_outlying_null_and_tied_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pathlens.operators import ordering
+
+    keys = [*range(500), 10**15, -(10**18), *([33] * 300), None, None, None]
+    df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "pos long, n long")
+    sizes = [r["count"] for r in ordering.bucketed(df, F.col("pos"), 50, F.xxhash64("n")).groupBy("__bucket").count().collect()]
+    assert sum(sizes) == len(keys) and max(sizes) < 200
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 50)
+    rows = ordering.numbered(df, "pos", "seq").orderBy("seq").collect()
+    assert [r.seq for r in rows] == list(range(1, len(keys) + 1))
+    assert [r.pos for r in rows] == sorted(keys, key=lambda k: (k is not None, k or 0))
+    before = {r.n: r.last for r in ordering.with_previous_max(df, "pos", "last").collect()}
+    there = sorted({k for k in keys if k is not None})
+    assert before == {n: None if k is None or k == there[0] else there[there.index(k) - 1] for n, k in enumerate(keys)}
+    totals = ordering.running_totals(df, F.col("pos"), F.col("n"), {"sum": F.col("n"), "count": F.lit(1)}, 50).orderBy("count").collect()
+    assert [r["sum"] for r in totals] == [sum(r.n for r in totals[:i]) for i in range(len(totals))]
+    log = spark.createDataFrame([(k, f"/{n}", 1) for n, k in enumerate([1, 2, None, 9, None])], "pos long, path string, ts long")
+    assert sorted(r.seq for r in ev.clean_log(log).collect()) == [1, 2, 3, 4, 5]
+
+
 def test_first_seen_keeps_first_path_and_last_size(spark):
     df = spark.createDataFrame([(1, 5, 0, "/a", 1, 1), (1, 5, 0, "/b", 2, 2), (1, 6, 0, "/c", 3, 3)], "dev long, ino long, generation int, path string, size long, seq long")
     assert sorted((r.path, r.size) for r in overlay.first_seen(df).collect()) == [("/a", 2), ("/c", 3)]
@@ -159,8 +181,9 @@ def test_watch_budget_and_tiers(spark):
     assert w.used == 0 and w.register("/b", 2, 200) == watch.SEND and w.register("/b", 2, 200) == watch.NOT_ELIGIBLE
     w.settle_promotion("/b", True, 210)
     assert w.dirs["/b"].tier == "L0" and w.promotions == 1 and w.demotions == 1
-    w.touch("/b/x", 300)
-    assert w.dirs["/b"].last_event == 300
+    w.add("/b/scanned", "L1", 1, 50)
+    w.touch("/b/scanned/x", 300)
+    assert w.dirs["/b"].last_event == 300 and w.dirs["/b/scanned"].last_event == 50
     assert watch.batch_size(100) == 1 and watch.batch_size(5000) == 10
 
 
