@@ -73,7 +73,7 @@ def search(
         if by == column and column not in files.columns:
             files = files.withColumn(column, F.lit(None).cast("timestamp"))
     if mode_of(mode) == FUZZY:
-        found = _fuzzy(files, query, n, scored)
+        found = _fuzzy(files, query, n, scored, candidate_limit)
     else:
         found = matching(files, query, content)
         found = scored(found.orderBy(path_key()).limit(n) if candidate_limit else found)
@@ -81,12 +81,17 @@ def search(
     return best.select("path", "size", "score", highlight.highlights(query).alias("highlights"))
 
 
-def _fuzzy(files: DataFrame, query: str, n: int, scored) -> DataFrame:
-    """The n best by alignment and relevance, among exact matches, or all rows if there are none."""
+def _fuzzy(files: DataFrame, query: str, n: int, scored, candidate_limit: bool) -> DataFrame:
+    """The n best by alignment and relevance, among exact matches, or all rows if there are none.
+
+    Every match is ranked; ``candidate_limit`` takes the first matches by path only.
+    """
     table = normalize(files)
-    most = max(n, min(max(FUZZY_FACTOR * n, FUZZY_LEAST), FUZZY_MOST))
-    exact = matching(files, query)
-    candidates = table if exact.isEmpty() else exact.orderBy(path_key()).limit(most)
+    candidates = matching(files, query)
+    if candidates.isEmpty():
+        candidates = table
+    elif candidate_limit:
+        candidates = candidates.orderBy(path_key()).limit(max(n, min(max(FUZZY_FACTOR * n, FUZZY_LEAST), FUZZY_MOST)))
     ranked = scored(candidates.where(fuzzy.may_match(query))).withColumn("__fuzzy", fuzzy.fuzzy_score(query)).where("__fuzzy IS NOT NULL")
     return ranked.orderBy((F.col("__fuzzy") + F.col("score")).desc(), path_key()).limit(n).drop("__fuzzy")
 

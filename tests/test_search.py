@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pathlens.functions import fuzzy
@@ -112,3 +114,15 @@ def test_line_protocol(files):
     assert set(answer(files, "q:server_1")) == {"/or/server_1.js", "/or/myserver_1.js"}
     with pytest.raises(ValueError):
         mode_of("nope")
+
+
+def test_fuzzy_mode_ranks_every_match(spark):
+    rows = [(f"/a/{n:05d}_xmdtx", 1) for n in range(3000)] + [("/z/mdt", 1)]
+    df = spark.createDataFrame(rows, "path string, size long")
+    assert search(df, "mdt", 1, mode="fuzzy").first().path == "/z/mdt" == search(df, "mdt", 1).first().path
+    assert search(df, "mdt", 1, mode="fuzzy", candidate_limit=True).first().path != "/z/mdt"
+
+
+@given(st.lists(st.text("abAB/._-1 é", max_size=20), max_size=8), st.text("abA/1é", min_size=1, max_size=5))
+def test_scores_of_many_texts_are_those_of_each(texts, pattern):
+    assert fuzzy.score_all(texts, pattern).tolist() == [-1 if (s := fuzzy.score(t, pattern)) is None else s for t in texts]
