@@ -1,11 +1,13 @@
 """Versioned snapshots of a file table, and the log of changes since.
 
 Layout: ``versions/<n>/`` (Parquet, sorted by path inside files), one
-``versions/<n>.json`` per version (row count, checksum, roots, sealed log id),
+``versions/<n>.json`` per version (lengths of files, row count, checksum, roots, sealed log id),
 ``manifest.json`` (current and previous version), ``wal/seal=<id>/`` (events by
 log segment; the open one has the id after the last seal), ``state.json``.
 A version counts only once its manifest entry is there, and is read only if its
-count and checksum agree; else the one before is used, else none.
+files have the lengths that were noted; else the one before is used, else none.
+Rows are read back and counted when a version is written; ``valid(n, deep=True)``
+compares them again.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ class Snapshots:
     def manifest(self) -> dict:
         return self.store.read_json("manifest.json") or {"versions": []}
 
-    def write(self, files: DataFrame, sealed: int = 0, expect: list[int] | None = None) -> int:
-        """A new current version; ``expect`` is the manifest that the caller started from."""
+    def write(self, files: DataFrame, sealed: int = 0, expect: list[int] | None = None, note: dict | None = None) -> int:
+        """A new current version; ``expect`` is the manifest that the caller started from, ``note`` is kept with the version."""
         before = self.manifest()["versions"]
         if expect is not None and before != expect:
             raise ConflictError(f"expected versions {expect}, found {before}")
@@ -64,7 +66,7 @@ class Snapshots:
         table = normalize(files)
         table.repartitionByRange(F.col("path")).sortWithinPartitions("path").write.mode("overwrite").parquet(folder)
         count, checksum = fingerprint(self.spark.read.parquet(folder))
-        self.store.write_json(f"versions/{n}.json", {"count": count, "checksum": str(checksum), "roots": self.roots, "sealed": sealed, "written": int(time.time())})
+        self.store.write_json(f"versions/{n}.json", {"count": count, "checksum": str(checksum), "roots": self.roots, "sealed": sealed, "files": self.store.lengths(f"versions/{n}"), "written": int(time.time()), "note": note or {}})
         if not self.valid(n):
             raise RuntimeError(f"version {n} does not read back")
         if expect is not None and self.manifest()["versions"] != expect:
@@ -77,10 +79,13 @@ class Snapshots:
                 self.store.delete(f"versions/{old}.json")
         return n
 
-    def valid(self, n: int) -> bool:
+    def valid(self, n: int, deep: bool = False) -> bool:
+        """Whether a version is whole: its files have the lengths that were noted; if ``deep``, also count and checksum of all rows."""
         note = self.store.read_json(f"versions/{n}.json")
-        if not note or note["roots"] != self.roots or not self.store.exists(f"versions/{n}/_SUCCESS"):
+        if not note or note["roots"] != self.roots or not self.store.exists(f"versions/{n}/_SUCCESS") or self.store.lengths(f"versions/{n}") != note["files"]:
             return False
+        if not deep:
+            return True
         try:
             count, checksum = fingerprint(self.spark.read.parquet(f"{self.store.base}/versions/{n}"))
         except Exception:  # a damaged file shows as some error of the reader
@@ -159,21 +164,30 @@ class Snapshots:
             return delta.where("live AND size IS NOT NULL").select("dev", "ino", "generation", "path", "size")
         return visible_files(base.select("dev", "ino", "generation", "path", "size", *(c for c in ("mtime",) if c in base.columns)), delta)
 
-    def compact(self) -> int:
+    def taken_in(self, stream: str) -> int:
+        """The last batch of a stream that the current version holds; -1 if none."""
+        for n in self.manifest()["versions"][:1]:
+            note = (self.store.read_json(f"versions/{n}.json") or {}).get("note", {})
+            if note.get("stream") == stream:
+                return note["batch"]
+        return -1
+
+    def compact(self, note: dict | None = None) -> int:
         """Seals the log, writes base and log as a new version, and drops what it took in."""
         expect = self.manifest()["versions"]
         n = self.seal()
         files = self.current()
         if files is None:
             return 0
-        version = self.write(files, n, expect)
+        version = self.write(files, n, expect, note)
         self.forget(n)
         return version
 
     def rebuild(self, scan, begun_seal: int | None = None) -> int:
         """A new version from a full scan; events that were logged since it began stay in the log and count on top."""
         n = self.seal() if begun_seal is None else begun_seal
-        version = self.write(scan(), n)
+        held = self.manifest()["versions"][:1]
+        version = self.write(scan(), n, note=(self.store.read_json(f"versions/{held[0]}.json") or {}).get("note") if held else None)
         self.forget(n)
         return version
 

@@ -24,6 +24,11 @@ class Store:
     def names(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []
 
+    def lengths(self, name: str) -> dict[str, int]:
+        """Names and lengths of the data files of a folder."""
+        found = self._fs.listStatus(self._path(name)) if self.exists(name) else []
+        return {s.getPath().getName(): s.getLen() for s in found if not s.getPath().getName().startswith(("_", "."))}
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
