@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathlens import fixtures
-from pathlens.functions import highlight, scoring
+from pathlens.functions import fuzzy, highlight, scoring
 from pathlens.functions.exclude import excluded
 from pathlens.functions.paths import longest_root, normalize
 from pathlens.operators import content, events, index, overlay, status, sync, watch
@@ -158,6 +158,23 @@ def _fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("fuzzy_topk", _fuzzy)
+add("fuzzy_candidates", lambda s, d: normalize(files(s, d)).where(fuzzy.may_match("mtstfl")).select("path"), f"{NAMED} SELECT path FROM files WHERE lower(path) LIKE '%m%t%s%t%f%l%'")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files with times of creation and access."""
+    return files(spark, sf_dir).withColumn("ctime", F.expr("mtime + INTERVAL '36' HOUR")).withColumn("atime", F.expr("CASE WHEN size % 5 > 0 THEN mtime + INTERVAL '100' HOUR END"))
+
+
+_TIMED = NAMED + ", timed AS (SELECT *, mtime + INTERVAL 36 HOUR AS ctime, CASE WHEN size % 5 > 0 THEN mtime + INTERVAL 100 HOUR END AS atime FROM files)"
+for _name, _text, _where in (
+    ("dc_day", "dc:2024-01-15", "ctime >= TIMESTAMP '2024-01-15' AND ctime < TIMESTAMP '2024-01-16'"),
+    ("da_day", "da:2024-01-15", "atime >= TIMESTAMP '2024-01-15' AND atime < TIMESTAMP '2024-01-16'"),
+    ("da_not_day", "doc_ !da:2024-01-15", "contains(path_fold, 'doc_') AND NOT coalesce(atime >= TIMESTAMP '2024-01-15' AND atime < TIMESTAMP '2024-01-16', false)"),
+):
+    add(_name, lambda s, d, text=_text: searching.matching(_timed(s, d), text).select("path", "size"), f"{_TIMED} SELECT path, size FROM timed WHERE {_where}")
+for _name, _by, _sort, _order in (("sort_ctime_desc", f"ctime DESC NULLS LAST, {_KEY} DESC", "dc", "desc"), ("sort_atime_nulls", f"atime NULLS FIRST, {_KEY}", "accessed", None)):
+    add(_name, lambda s, d, sort=_sort, order=_order: searching.search(_timed(s, d), "doc_", 40, sort=sort, order=order, as_of=_as_of()).select("path", "size", "score"), f"{_TIMED} SELECT path, size, {_DOC_SCORE} AS score FROM timed WHERE {_DOC} ORDER BY {_by} LIMIT 40")
 
 
 # Changes and maintenance.
@@ -354,7 +371,12 @@ add("watch_tier_report", lambda s, d: watch.report(_dirs(s, d), 400), f"""{_DIRS
   CAST(least(floor(coalesce(sum(watch_cost) FILTER (tier = 'L0'), 0) * 100 / 400), 100) AS BIGINT) AS budget_percent FROM dirs""")
 add("watch_expired", lambda s, d: watch.expired(_dirs(s, d), 20_000, 7_200), f"{_DIRS} SELECT path FROM dirs WHERE tier = 'L0' AND NOT demotion_pending AND 20000 - last_event > 7200")
 add("watch_next_scans", lambda s, d: watch.next_scans(_dirs(s, d), 10), f"{_DIRS} SELECT path FROM dirs WHERE tier = 'L1' AND NOT promotion_pending AND NOT demotion_pending ORDER BY last_scan, path LIMIT 10")
-add("watch_admission", lambda s, d: watch.admission(_dirs(s, d).select("path", "watch_cost"), 300))
+add("watch_admission", lambda s, d: watch.admission(_dirs(s, d).select("path", "watch_cost"), 300), f"""WITH RECURSIVE {_DIRS.lstrip().removeprefix("WITH ")},
+o AS (SELECT path, watch_cost, row_number() OVER (ORDER BY path) AS k FROM dirs),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS path, CAST(0 AS BIGINT) AS watch_cost, CAST(0 AS BIGINT) AS used, false AS admitted
+  UNION ALL SELECT o.k, o.path, o.watch_cost, walk.used + CASE WHEN walk.used + o.watch_cost <= 300 THEN o.watch_cost ELSE 0 END, walk.used + o.watch_cost <= 300 FROM walk JOIN o ON o.k = walk.k + 1)
+SELECT path, watch_cost, admitted FROM walk WHERE k > 0""")
+add("watch_cost", lambda s, d: watch.watch_cost(_dirs(s, d), "/corpus/src1", 20), f"{_DIRS} SELECT least(count(*), 20) AS watch_cost FROM dirs WHERE path = '/corpus/src1' OR starts_with(path, '/corpus/src1/')")
 add("query_metrics", _metrics, f"""{EVENTS}, l AS (SELECT event_type = 'modify' AS q, size + 1 AS m FROM ev), t AS (SELECT count(*) FILTER (q) AS queries, CAST(sum(m) FILTER (q) AS BIGINT) AS query_micros,
   count(*) FILTER (NOT q) AS events, CAST(sum(m) FILTER (NOT q) AS BIGINT) AS event_micros FROM l)
 SELECT *, query_micros // queries AS average_query_micros, event_micros // events AS average_event_micros FROM t""")
@@ -364,6 +386,76 @@ add("longest_root", _under_roots, f"""{NAMED} SELECT path, CASE WHEN starts_with
 add("excluded_components", _excluded, f"{NAMED} SELECT path, size FROM files WHERE NOT list_contains(segs, 'node_modules') AND NOT list_contains(segs, 'target')")
 
 
+
+
+# What keeps a collection: counts, health, sizes, caps, repairs.
+
+
+def _health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count(F.lit(1))
+    counters = _events(spark, sf_dir).groupBy(F.expr("ino % 40").alias("k")).agg(
+        (F.max("size") % 3 != 1).alias("watch_enabled"), (n % 4 == 0).alias("watcher_degraded"), (n % 3).cast("int").alias("watch_failures"), (n % 100).cast("int").alias("budget_percent"), (n % 2).alias("last_snapshot")
+    )
+    return status.health(counters).select("k", F.size("issues").cast("long").alias("issues"), "index_health")
+
+
+def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = _events(spark, sf_dir).select(F.col("event_type").alias("process"), F.timestamp_seconds(F.col("seq") * 15).alias("ts"), "seq", F.col("size").cast("double").alias("value"))
+    return status.trend(samples).select("process", "seq", "per_minute")
+
+
+def _event_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).groupBy("event_type").agg(F.sum(events.estimated_bytes()).cast("long").alias("bytes"))
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _events(spark, sf_dir)
+    held = log.where("seq <= 300").select("path").distinct()
+    return overlay.admit(held, log.where("seq > 300"), 700)[0].select("seq", "path")
+
+
+def _bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.bounded(normalize(files(spark, sf_dir)).select(F.col("parent").alias("dir"), "path"), 7).select("path")
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirs = normalize(files(spark, sf_dir)).groupBy(F.col("parent").alias("path")).agg((F.min(F.unix_micros(F.col("mtime").cast("timestamp"))) * 1000).alias("mtime_ns"))
+    return sync.changed_dirs(dirs, sync.DirtyScope(1704070810 * 10**9))
+
+
+def _gap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two directories' events come with a hole; they are read again as they are now."""
+    now, log = normalize(files(spark, sf_dir)), _events(spark, sf_dir)
+    base = now.where("size % 4 > 0").withColumn("size", F.col("size") + F.when(F.col("size") % 4 == 1, 100).otherwise(0))
+    seen = log.where("seq <= 40 AND seq % 9 <> 4").withColumn("path", F.concat(F.lit("/corpus/src"), (F.col("seq") % 2 + 1).cast("string"), F.lit("/en/x")))
+    read = lambda dirs: now if dirs is None else now.where(F.col("parent").isin(*dirs))
+    return sync.verify_and_repair(base, seen, 1, read)[0].select("path", "size")
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = normalize(files(spark, sf_dir)).select("parent", "path", "size")
+    added = now.where("size % 10 = 1").withColumn("path", F.concat("path", F.lit(".x")))
+    return overlay.parents_applied(now, added, now.where("size % 7 = 2")).groupBy("parent").agg(F.count(F.lit(1)).alias("entries"))
+
+
+add("file_count", lambda s, d: status.status(files(s, d)), f"{NAMED} SELECT count(*) AS indexed_count, false AS is_rebuilding FROM files")
+add("health_report", _health, f"""{EVENTS}, c AS (SELECT ino % 40 AS k, max(size) % 3 <> 1 AS enabled, count(*) % 4 = 0 AS degraded, count(*) % 3 AS failures, count(*) % 100 AS percent, count(*) % 2 AS snap FROM ev GROUP BY ino % 40),
+i AS (SELECT *, CASE WHEN NOT enabled THEN 1 WHEN degraded THEN 1 ELSE 0 END + CASE WHEN failures > 0 THEN 1 ELSE 0 END + CASE WHEN percent >= 90 THEN 1 ELSE 0 END + CASE WHEN snap = 0 THEN 1 ELSE 0 END AS n FROM c)
+SELECT k, CAST(n AS BIGINT) AS issues, CASE WHEN NOT enabled THEN 'static' WHEN degraded THEN 'degraded' WHEN n = 0 THEN 'ok' ELSE 'warning' END AS index_health FROM i""")
+add("trend_per_minute", _trend, f"""{EVENTS}, w AS (SELECT event_type AS process, seq, CAST(size AS DOUBLE) - first_value(CAST(size AS DOUBLE)) OVER x AS rise, (seq - first_value(seq) OVER x) * 15000000 / 60000000.0::DOUBLE AS minutes FROM ev
+  WINDOW x AS (PARTITION BY event_type ORDER BY seq ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT process, seq, CASE WHEN minutes > 0 THEN rise / minutes ELSE 0.0 END AS per_minute FROM w""")
+add("event_bytes", _event_bytes, f"{EVENTS} SELECT event_type, CAST(sum(strlen(path) + coalesce(strlen(from_path), 0)) AS BIGINT) AS bytes FROM ev GROUP BY event_type")
+add("delta_cap", _capped, f"""{EVENTS}, held AS (SELECT DISTINCT path FROM ev WHERE seq <= 300), fresh AS (SELECT path, min(seq) AS seq FROM ev WHERE seq > 300 AND path NOT IN (SELECT path FROM held) GROUP BY path),
+o AS (SELECT seq, row_number() OVER (ORDER BY seq) AS k FROM fresh), over AS (SELECT min(seq) AS seq FROM o WHERE k > 700 - (SELECT count(*) FROM held))
+SELECT seq, path FROM ev WHERE seq > 300 AND seq < coalesce((SELECT seq FROM over), 9000000000)""")
+add("bounded_scan", _bounded, f"{NAMED} SELECT path FROM (SELECT path, row_number() OVER (PARTITION BY parent ORDER BY path) AS k FROM files) WHERE k <= 7")
+add("changed_dirs", _changed, f"{NAMED} SELECT parent AS path FROM files GROUP BY parent HAVING min(mtime) > TIMESTAMP '2024-01-01 01:00:00'")
+add("gap_repair", _gap_repair, f"""{NAMED} SELECT path, size + CASE WHEN size % 4 = 1 THEN 100 ELSE 0 END AS size FROM files WHERE size % 4 > 0 AND parent NOT IN ('/corpus/src1/en', '/corpus/src2/en')
+  UNION ALL SELECT path, size FROM files WHERE parent IN ('/corpus/src1/en', '/corpus/src2/en')""")
+add("parent_entries", _parents, f"""{NAMED}, now AS (SELECT parent, path FROM files UNION SELECT parent, path || '.x' FROM files WHERE size % 10 = 1)
+SELECT parent, count(*) AS entries FROM now WHERE path NOT IN (SELECT path FROM files WHERE size % 7 = 2) GROUP BY parent""")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
