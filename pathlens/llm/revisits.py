@@ -28,10 +28,10 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import order_buckets
+from pathlens.operators.ordering import bucketed
 
 STRETCH = 50_000
 #: What a 304 may renew (fixed values, from RFC 9110 and RFC 9111).
@@ -66,7 +66,8 @@ def weak(etag: Column) -> Column:
 def latest_before(records: DataFrame) -> DataFrame:
     """Revisits with ``found``, struct(ts, record_id) of the latest earlier response of their page."""
     staged = records.withColumn("__time", F.unix_micros(F.col("ts").cast("timestamp")))
-    cut, stretch = order_buckets(staged, "__time", STRETCH)
+    stretch = "__bucket"
+    cut = bucketed(staged, F.col("__time"), STRETCH)
     response = F.when((F.col("kind") == "response") & F.col("__time").isNotNull(), F.struct(F.col("__time").alias("ts"), "record_id"))
     cut = cut.withColumn("__response", response)
     inside = Window.partitionBy("page", stretch).orderBy("__time").rangeBetween(Window.unboundedPreceding, -1)
@@ -107,64 +108,106 @@ def with_payload(resolved: DataFrame, payloads: DataFrame) -> DataFrame:
     return ready.join(payloads.select(F.col("record_id").alias("response_id"), "payload"), "response_id")
 
 
-def crawl(pages: DataFrame) -> DataFrame:
-    """A crawl made of ``pages``: each is fetched in full and asked for again once.
+def read_warc(spark: SparkSession, *paths: str) -> DataFrame:
+    """Crawl records of WARC files (plain or gzip, any file system that Spark reads): record_id (a
+    hash of the record's own), url, ts, kind, headers, digest, refers_to, whole.
+
+    Records are told apart by their version line, so a large plain file is read
+    by many tasks, and payloads are not kept. ``kind`` is ``response``,
+    ``revisit`` or the record's type; ``headers`` are those of the HTTP message.
+    ``whole`` says that the block has the bytes that the record promises (it may
+    seem not to, where a payload is not in UTF-8).
+    """
+    raw = spark.read.option("lineSep", "WARC/1.").text(list(paths)).where(F.col("value").rlike(r"^[01]\r?\n"))
+    own = F.regexp_extract("value", r"(?s)^[01]\r?\n(.*?)\r?\n\r?\n", 1)
+    block = F.regexp_replace("value", r"(?s)^[01]\r?\n.*?\r?\n\r?\n", "")
+    head = F.regexp_extract(block, r"(?s)^HTTP/[^\n]*\n(.*?)(?:\r?\n\r?\n|\z)", 1)
+    named = raw.select(parsed_headers(own).alias("own"), F.octet_length(block).alias("bytes"), parsed_headers(head).alias("headers"))
+    field = lambda name: F.col("own")[name]
+    number = lambda name: F.when(field(name).isNotNull(), F.xxhash64(field(name)))
+    return named.select(
+        number("warc-record-id").alias("record_id"), field("warc-target-uri").alias("url"), F.to_timestamp(field("warc-date")).alias("ts"), F.lower(field("warc-type")).alias("kind"),
+        "headers", field("warc-payload-digest").alias("digest"), number("warc-refers-to").alias("refers_to"), (F.col("bytes") >= field("content-length").try_cast("long")).alias("whole"),
+    )
+
 
-    Page i is fetched at second 10 i. It is asked for again 25 seconds later (5
-    seconds before, for every third page) under another spelling of its address;
-    the answer carries the page's ETag, for every fifth another one, and for
-    every seventh no ETag but the same or a later Last-Modified.
+def crawl(pages: DataFrame) -> DataFrame:
+    """A crawl made of ``pages``, four records for each.
+
+    Page i is fetched at second 10 i, and asked for again 25 seconds later (5
+    seconds before, for every third page) under another spelling of its address.
+    The front page of its host, which many pages share, is fetched at second 40
+    (i div 4), so that responses of one address and one time occur, and asked for
+    again up to 20 seconds before or 10 after. It changes with every 32nd page.
+    An answer "not modified" carries the ETag, for every fifth page another one,
+    and for every seventh no ETag but the same or a later Last-Modified.
     """
     i, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce(F.col("html"), F.lit("")).cast("binary")), F.lit('"'))
-    at = lambda seconds: F.timestamp_seconds(seconds)
+    front = F.concat(F.lit("http://"), F.regexp_extract(F.trim("url"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("/"))
+    version = F.expr("page_id div 32")
+    version_tag = F.concat(F.lit('"v'), version.cast("string"), F.lit('"'))
+    front_time = F.expr("page_id div 4") * 40
     day = lambda n: F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), n.cast("int")), "yyyy-MM-dd")
-    full = pages.select(
-        (i * 2).alias("record_id"), "url", at(i * 10).alias("ts"), F.lit("response").alias("kind"),
-        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), day(i % 1000), F.lit("content-length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("date"), (i * 10).cast("string"), F.lit("server"), F.lit("one")).alias("headers"),
-        tag.alias("digest"),
-    )
-    own = F.when(i % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), tag))
-    shared = F.create_map(F.lit("last-modified"), day(i % 1000 + (i % 2)), F.lit("content-length"), F.lit("0"), F.lit("date"), (i * 10 + 25).cast("string"), F.lit("cache-control"), F.concat(F.lit("max-age="), (i % 100).cast("string")), F.lit("server"), F.lit("two"))
-    again = pages.select(
-        (i * 2 + 1).alias("record_id"), F.concat(F.col("url"), F.lit("#again")).alias("url"),
-        at(F.when(i % 3 == 0, i * 10 - 5).otherwise(i * 10 + 25)).alias("ts"), F.lit("revisit").alias("kind"),
-        F.when(i % 7 == 0, shared).otherwise(F.map_concat(shared, F.create_map(F.lit("etag"), own))).alias("headers"),
-        F.lit(None).cast("string").alias("digest"),
-    )
-    return full.unionByName(again)
+
+    def response(k: int, url: Column, second: Column, etag: Column, changed: Column, size: Column, digest: Column) -> Column:
+        headers = F.create_map(F.lit("etag"), etag, F.lit("last-modified"), changed, F.lit("content-length"), size.cast("string"), F.lit("date"), second.cast("string"), F.lit("server"), F.lit("one"))
+        return F.struct((i * 4 + k).alias("record_id"), url.alias("url"), F.timestamp_seconds(second).alias("ts"), F.lit("response").alias("kind"), headers.alias("headers"), digest.alias("digest"))
+
+    def revisit(k: int, url: Column, second: Column, etag: Column, changed: Column) -> Column:
+        shared = F.create_map(F.lit("last-modified"), changed, F.lit("content-length"), F.lit("0"), F.lit("date"), second.cast("string"), F.lit("cache-control"), F.concat(F.lit("max-age="), (i % 100).cast("string")), F.lit("server"), F.lit("two"))
+        own = F.when(i % 5 == 0, F.lit('"other"')).otherwise(F.concat(F.lit("W/"), etag))
+        headers = F.when(i % 7 == 0, shared).otherwise(F.map_concat(shared, F.create_map(F.lit("etag"), own)))
+        return F.struct((i * 4 + k).alias("record_id"), url.alias("url"), F.timestamp_seconds(second).alias("ts"), F.lit("revisit").alias("kind"), headers.alias("headers"), F.lit(None).cast("string").alias("digest"))
+
+    records = F.array(
+        response(0, F.col("url"), i * 10, tag, day(i % 1000), F.octet_length(F.coalesce("html", F.lit(""))), tag),
+        revisit(1, F.concat(F.col("url"), F.lit("#again")), F.when(i % 3 == 0, i * 10 - 5).otherwise(i * 10 + 25), tag, day(i % 1000 + (i % 2))),
+        response(2, front, front_time, version_tag, day(version % 1000), i % 7 + 100, version_tag),
+        revisit(3, front, front_time + (i % 4) * 10 - 20, version_tag, day(version % 1000)),
+    )
+    return pages.where(i.isNotNull()).select(F.inline(records))
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """The resolved revisits of ``crawl(pages)``, by the page asked for again."""
-    done = resolve(crawl(pages.select("page_id", "url", "html")))
+    """The resolved revisits of ``crawl(pages)``."""
+    done = resolve(crawl(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")))
     lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
-    return done.select(F.expr("(record_id - 1) div 2").alias("page_id"), F.col("page").alias("canonical_url"), F.expr("response_id div 2").alias("response_page_id"), "verdict", lines.alias("headers"))
+    return done.select("record_id", F.expr("record_id div 4").alias("page_id"), F.col("page").alias("canonical_url"), "response_id", "verdict", lines.alias("headers"))
 
 
 ORACLE = r"""
 WITH p AS (
-  SELECT page_id AS i, '"' || md5(coalesce(html, '')) || '"' AS tag, octet_length(encode(coalesce(html, ''))) AS n,
-    regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+  SELECT page_id AS i, '"' || md5(coalesce(html, '')) || '"' AS tag, octet_length(encode(coalesce(html, ''))) AS n, url,
+    'http://' || regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)', 1) || '/' AS front,
+    '"v' || (page_id // 32) || '"' AS vtag, 40 * (page_id // 4) AS ft, page_id // 32 AS v FROM pages WHERE page_id IS NOT NULL),
+resp AS (
+  SELECT i * 4 AS rid, url, i * 10 AS t, tag AS etag, i % 1000 AS d, n FROM p
+  UNION ALL SELECT i * 4 + 2, front, ft, vtag, v % 1000, i % 7 + 100 FROM p),
+rev AS (
+  SELECT i * 4 + 1 AS rid, i, url, CASE WHEN i % 3 = 0 THEN i * 10 - 5 ELSE i * 10 + 25 END AS t, tag AS etag, i % 1000 + i % 2 AS d FROM p
+  UNION ALL SELECT i * 4 + 3, i, front, ft + 10 * (i % 4) - 20, vtag, v % 1000 FROM p),
+u AS (
+  SELECT DISTINCT url, regexp_replace(trim(url), '#.*$', '') AS u FROM (SELECT url FROM p UNION ALL SELECT front FROM p)),
 h AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(?:80|443)$', ''), '^www\.', '') AS host,
+  SELECT url, regexp_replace(regexp_replace(lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':(?:80|443)$', ''), '^www\.', '') AS host,
     regexp_replace(regexp_extract(u, '^[^/]*//[^/?]*([^?]*)', 1), '/+$', '') AS path,
-    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)='))), '&') AS q FROM p),
+    array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)='))), '&') AS q FROM u),
 c AS (
-  SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS page,
-    strftime(DATE '2020-01-01' + CAST(i % 1000 AS INTEGER), '%Y-%m-%d') AS lm,
-    strftime(DATE '2020-01-01' + CAST(i % 1000 + i % 2 AS INTEGER), '%Y-%m-%d') AS lm2,
-    CASE WHEN i % 3 = 0 THEN i * 10 - 5 ELSE i * 10 + 25 END AS t2,
-    CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 = 0 THEN '"other"' ELSE 'W/' || tag END AS etag2 FROM h),
+  SELECT url, CASE WHEN host <> '' THEN host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS page FROM h),
+r AS (
+  SELECT resp.*, c.page FROM resp LEFT JOIN c USING (url)),
+w AS (
+  SELECT rev.rid, rev.i, rev.t, rev.d, c.page, CASE WHEN i % 7 = 0 THEN NULL WHEN i % 5 = 0 THEN '"other"' ELSE 'W/' || etag END AS etag FROM rev LEFT JOIN c USING (url)),
 m AS (
-  SELECT v.i, v.page, v.lm2, v.etag2, max(r.i) AS r_i FROM c v LEFT JOIN c r ON r.page = v.page AND r.i * 10 < v.t2 GROUP BY ALL),
+  SELECT w.rid, max(r.t * 1000000000000::HUGEINT + r.rid) AS f FROM w LEFT JOIN r ON r.page = w.page AND r.t < w.t GROUP BY w.rid),
 j AS (
-  SELECT m.*, r.tag AS r_tag, r.n AS r_n,
-    CASE WHEN r.i IS NULL THEN 'missing'
-      WHEN m.etag2 IS NOT NULL THEN CASE WHEN replace(m.etag2, 'W/', '') = r.tag THEN 'resolved' ELSE 'changed' END
-      WHEN m.lm2 = r.lm THEN 'resolved' ELSE 'changed' END AS verdict
-  FROM m LEFT JOIN c r ON r.i = m.r_i)
-SELECT i AS page_id, page AS canonical_url, r_i AS response_page_id, verdict,
-  CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=' || (i % 100) || chr(10) || 'content-length: ' || r_n || chr(10) || 'date: ' || (i * 10 + 25)
-    || chr(10) || 'etag: ' || coalesce(etag2, r_tag) || chr(10) || 'last-modified: ' || lm2 || chr(10) || 'server: one' END AS headers
+  SELECT w.*, r.rid AS r_id, r.etag AS r_etag, r.n AS r_n,
+    CASE WHEN r.rid IS NULL THEN 'missing'
+      WHEN w.etag IS NOT NULL THEN CASE WHEN replace(w.etag, 'W/', '') = r.etag THEN 'resolved' ELSE 'changed' END
+      WHEN w.d = r.d THEN 'resolved' ELSE 'changed' END AS verdict
+  FROM w JOIN m USING (rid) LEFT JOIN r ON r.rid = m.f % 1000000000000)
+SELECT rid AS record_id, i AS page_id, page AS canonical_url, r_id AS response_id, verdict,
+  CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=' || (i % 100) || chr(10) || 'content-length: ' || r_n || chr(10) || 'date: ' || t
+    || chr(10) || 'etag: ' || coalesce(etag, r_etag) || chr(10) || 'last-modified: ' || strftime(DATE '2020-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') || chr(10) || 'server: one' END AS headers
 FROM j
 """
