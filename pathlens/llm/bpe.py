@@ -3,11 +3,14 @@
 The library splits a text into pieces (a word with the space before it, a
 number, punctuation, white space) and encodes each by itself. Pieces repeat, so
 texts are split here with numpy, and only pieces that this process has not met
-go to the library. Ids equal those of ``encode_batch`` on the whole texts.
+go to the library. Ids equal those of ``encode_batch`` on the whole texts. Pieces
+are known by a 64-bit hash. Vocabularies that split in another way go to the
+library text by text.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -62,11 +65,21 @@ def split(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def splits_here(vocabulary: dict) -> bool:
+    """Whether ``split`` is how this vocabulary splits texts; any other is left to the library as a whole."""
+    pre, model = vocabulary.get("pre_tokenizer") or {}, vocabulary.get("model") or {}
+    whole = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = not any(vocabulary.get(k) for k in ("normalizer", "truncation", "padding"))
+    return whole and plain and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.known = splits_here(json.load(f))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -112,7 +125,7 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.zeros(0, np.uint32)
-            elif any(s in t for s in self.special) or not t.isprintable() and _surrogates(t):
+            elif not self.known or any(s in t for s in self.special) or not t.isprintable() and _surrogates(t):
                 out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
             else:
                 plain.append(i)

@@ -8,8 +8,8 @@ equal chunks wherever they stand. A store is a folder:
                is the SHA-256 of its ids as little-endian unsigned 32-bit
                integers, ``ids`` the ids in ``width`` bytes each. Rows without
                ids are references left by further occurrences.
-``recipes/``   rows in ascending doc_id order: row, doc_id, start, n_tokens,
-               chunks (chunk, n in order), root (Merkle root of the chunks).
+``recipes/``   rows in ascending doc_id order: row, number (0, 1, ...), doc_id, start,
+               n_tokens, chunks (chunk, n in order), root (Merkle root of the chunks).
 ``manifest/``  Merkle nodes (level, node, hash): level 0 hashes the roots of
                ``FAN`` neighbouring documents, each further level ``FAN`` nodes
                of the one below, up to a single node.
@@ -19,8 +19,8 @@ what is shuffled by chunk are at most as many copies as there are tasks.
 Further occurrences are spread by document.
 
 Defined cases: null and empty texts have the end id only; rows that repeat a
-doc_id are documents of their own, in order of their content, then of their
-place in the input; null doc_ids come first; an empty table gives an empty store
+doc_id are documents of their own, in an order by their content and their place
+in the input; null doc_ids come first; an empty table gives an empty store
 with an empty manifest; other columns are ignored.
 """
 
@@ -35,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pathlens.operators.ordering import running_totals
+
 from . import arrowkit, bpe, textkit
-from .work import Work, order_buckets, running_totals, text_of
+from .work import Work, text_of
 
 U = np.uint64
 END_ID = 2
@@ -116,8 +118,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
     work = Work(spark, "recipes")
     docs = work.save(docs, "unordered")
     # where each document starts: sums inside buckets of neighbouring ids, then over the buckets
-    placed = running_totals(docs, "doc_id", "n_tokens", "start", [F.col("root"), F.col("row")])
-    placed = placed.select("row", "doc_id", "start", "n_tokens", "chunks", "root")
+    placed = running_totals(docs, F.col("doc_id"), F.xxhash64("root", "row"), {"start": F.col("n_tokens"), "number": F.lit(1)}, 4096)
+    placed = placed.select("row", "number", "doc_id", "start", "n_tokens", "chunks", "root")
     placed.repartitionByRange(F.col("start")).sortWithinPartitions("start").write.option("compression", "zstd").parquet(f"{path}/recipes")
     work.drop(docs)
     manifest(spark, path)
@@ -125,10 +127,9 @@ def write(documents: DataFrame, path: str, tokenizer: str, end_id: int = END_ID)
 
 def manifest(spark: SparkSession, path: str) -> None:
     """Writes the Merkle nodes over the documents' roots."""
-    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "root")
-    bucketed, bucket = order_buckets(recipes, "start", FAN)
+    recipes = spark.read.parquet(f"{path}/recipes").select("number", "root")
     hashed = F.sha2(F.concat(F.lit("node"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda x: x["hash"]))), 256)
-    level = bucketed.select(F.col(bucket).alias("node"), F.col("start").alias("at"), F.hex("root").alias("hash")).groupBy("node").agg(hashed.alias("hash"))
+    level = recipes.select(F.expr(f"number div {FAN}").alias("node"), F.col("number").alias("at"), F.hex("root").alias("hash")).groupBy("node").agg(hashed.alias("hash"))
     number = 0
     while True:
         level.select(F.lit(number).alias("level"), "node", "hash").write.mode("append").parquet(f"{path}/manifest")
