@@ -2,11 +2,18 @@
 
 A text is the set of hashes of its runs of five words (lower case letters,
 digits and underscores). The sketch keeps every hash below the fraction
-``1 / SCALE`` of the hash range, so two sketches can be united, and the share of
-one text in another can be estimated however unequal their lengths. Texts with
-fewer than ``LEAST`` hashes there keep their ``LEAST`` smallest instead (all, if
-they have no more). The sketch's ``bound`` says up to where it is complete, and
-two sketches are compared below the lesser bound.
+``1 / SCALE`` of the hash range, the same for every text, so that sketches can be
+united, and the share of one text in another can be estimated however unequal
+their lengths. ``least`` is the text's least hash, kept by itself: it tells apart
+texts that have no hash below the fraction, and unites by the minimum.
+
+The error of an estimate follows the number of hashes kept: a share of 0.6 over
+n shingles is known to about 0.5 * sqrt(SCALE / n). The default suits texts of
+some hundred words; for long texts give a larger ``scale``.
+
+Likeness is the share of common hashes below the fraction (Jaccard). Where
+neither text has any there, it is 1 if the least hashes agree and 0 if not, which
+is right on the average. Containment is null if the first text has none there.
 
 Defined cases: a null text is read as empty; fewer than five words make one
 shingle; a text without words is one shingle of its string; equal doc_ids are
@@ -22,14 +29,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import order_buckets, text_of
+from pathlens.operators.ordering import bucketed, sort_key
+
+from .work import text_of
 
 WORDS = 5
-SCALE = 8
-LEAST = 64
+SCALE = 2
 WORD = r"[\p{L}\p{N}_]+"
-_TOP = 2**63 - 1
-_BOUND = -(2**63) + 2**64 // SCALE
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,64 +50,64 @@ def shingles(text: Column) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= WORDS, runs(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array(F.xxhash64(text, F.lit(1)))))
 
 
-def sketch(text: Column) -> Column:
-    """struct(bound, hashes in order)."""
+def bound(scale: int = SCALE) -> Column:
+    return F.lit(-(2**63) + 2**64 // scale - 1)
 
-    def of(all_hashes: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(all_hashes, lambda x: x < F.lit(_BOUND))))
-        few = lambda: let(F.array_sort(F.array_distinct(all_hashes)), lambda d: F.struct(F.when(F.size(d) <= LEAST, F.lit(_TOP)).otherwise(F.element_at(d, LEAST)).alias("bound"), F.slice(d, 1, LEAST).alias("hashes")))
-        return let(low, lambda l: F.when(F.size(l) >= LEAST, F.struct(F.lit(_BOUND).alias("bound"), l.alias("hashes"))).otherwise(few()))
 
-    return let(shingles(text), of)
+def sketch(text: Column, scale: int = SCALE) -> Column:
+    """struct(least, hashes): the least hash, and all in the lowest 1 / scale of the range, in order."""
+    kept = lambda all_hashes: F.struct(F.array_min(all_hashes).alias("least"), F.array_sort(F.array_distinct(F.filter(all_hashes, lambda x: x <= bound(scale)))).alias("hashes"))
+    return let(shingles(text), kept)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts' shingles together."""
-    bound = F.least(a["bound"], b["bound"])
-    return F.struct(bound.alias("bound"), F.array_sort(F.array_union(below(a, bound), below(b, bound))).alias("hashes"))
-
-
-def below(a: Column, bound: Column) -> Column:
-    return F.filter(a["hashes"], lambda x: x <= bound)
+    """The sketch of two texts' shingles together; both of one scale."""
+    return F.struct(F.least(a["least"], b["least"]).alias("least"), F.array_sort(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def counts(a: Column, b: Column) -> Column:
-    """struct(both, first, second): sizes of what two sketches share, and of each, below the lesser bound."""
-    return let(F.least(a["bound"], b["bound"]), lambda t: let(F.struct(below(a, t).alias("a"), below(b, t).alias("b")), lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("both"), F.size(s["a"]).alias("first"), F.size(s["b"]).alias("second"))))
+    """struct(both, first, second): how many hashes two sketches share, and have."""
+    return F.struct(F.size(F.array_intersect(a["hashes"], b["hashes"])).alias("both"), F.size(a["hashes"]).alias("first"), F.size(b["hashes"]).alias("second"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The estimated Jaccard similarity."""
-    return let(counts(a, b), lambda c: c["both"] / (c["first"] + c["second"] - c["both"]).cast("double"))
+    some = lambda c: c["both"] / (c["first"] + c["second"] - c["both"]).cast("double")
+    return let(counts(a, b), lambda c: F.when(c["first"] + c["second"] > 0, some(c)).otherwise((a["least"] == b["least"]).cast("double")))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The estimated share of the first text's shingles that the second has; 0 where the sketch can't tell."""
-    return let(counts(a, b), lambda c: F.when(c["first"] > 0, c["both"] / c["first"].cast("double")).otherwise(F.lit(0.0)))
+    """The estimated share of the first text's shingles that the second has; null where the sketch can't tell."""
+    return let(counts(a, b), lambda c: F.when(c["first"] > 0, c["both"] / c["first"].cast("double")))
 
 
 def written(a: Column) -> Column:
-    """A sketch as a string: bound and hashes in 16 hexadecimal digits each."""
-    return F.concat(F.lpad(F.hex(a["bound"]), 16, "0"), F.array_join(F.transform(a["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+    """A sketch as a string: the least hash and the others in 16 hexadecimal digits each."""
+    return F.concat(F.lpad(F.hex(a["least"]), 16, "0"), F.array_join(F.transform(a["hashes"], lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
-def with_next(documents: DataFrame, rows: int = 1024) -> DataFrame:
+def with_next(documents: DataFrame, rows: int = 1024, scale: int = SCALE) -> DataFrame:
     """doc_id, text, sketch and the next document's (text, sketch), by doc_id; the first follows the last.
 
     Documents are ordered within buckets of neighbouring ids; a bucket's last
-    document is followed by the first of the next bucket, found over the list
-    of buckets.
+    document is followed by the first of the next bucket. Texts are exchanged
+    once, and sketches are made where they are needed; there is one row per
+    bucket in the list of first documents.
     """
     source = documents.select("doc_id", text_of(documents).alias("text"))
-    bucketed, bucket = order_buckets(source, "doc_id", rows)
+    tie = F.xxhash64("text")
+    cut = bucketed(source, F.col("doc_id"), rows, tie).withColumn("at", sort_key(F.col("doc_id"), tie))
     own = F.struct("text", "sketch")
-    inside = Window.partitionBy(bucket).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered = bucketed.withColumn("sketch", sketch(F.col("text"))).withColumn("following", F.lead(own).over(inside)).withColumn("at", F.row_number().over(inside))
-    heads = ordered.where("at = 1").select(F.col(bucket).alias("head"), own.alias("first"))
-    line = Window.orderBy(bucket)
-    before = bucketed.select(bucket).distinct().select(F.col(bucket).alias("head"), F.coalesce(F.lag(bucket).over(line), F.max(bucket).over(Window.partitionBy())).alias("before"))
-    heads = heads.join(before, "head").select(F.col("before").alias(bucket), "first")
-    return ordered.join(heads, bucket).select("doc_id", "text", "sketch", F.coalesce("following", "first").alias("next"))
+    line = Window.orderBy("__bucket")
+    firsts = cut.groupBy("__bucket").agg(F.min("at").alias("at"))
+    before = firsts.select(F.coalesce(F.lag("__bucket").over(line), F.max("__bucket").over(Window.partitionBy())).alias("before"), F.col("__bucket").alias("b"), F.col("at").alias("a"))
+    # at most MOST_BUCKETS rows; a bucket's first key may stand in several rows, whose texts are equal
+    heads = cut.join(F.broadcast(before), (F.col("__bucket") == F.col("b")) & (F.col("at") == F.col("a"))).groupBy(F.col("before").alias("__bucket")).agg(F.min("text").alias("text"))
+    heads = heads.select("__bucket", F.struct("text", sketch(F.col("text"), scale).alias("sketch")).alias("first"))
+    # the sketch is made after the exchange, so only texts are moved
+    dealt = cut.repartition("__bucket").withColumn("sketch", sketch(F.col("text"), scale))
+    ordered = dealt.withColumn("following", F.lead(own).over(Window.partitionBy("__bucket").orderBy("at")))
+    return ordered.join(heads, "__bucket").select("doc_id", "text", "sketch", F.coalesce("following", "first").alias("next"))
 
 
 def edit(text: Column, following: Column) -> Column:
@@ -110,10 +116,10 @@ def edit(text: Column, following: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - quarter), F.substring(following, F.lit(1), quarter))
 
 
-def report(documents: DataFrame) -> DataFrame:
+def report(documents: DataFrame, scale: int = SCALE) -> DataFrame:
     """Fingerprints of every text and its edited text, and how alike they and the next one's are."""
-    edited = with_next(documents).withColumn("edited", edit(F.col("text"), F.col("next.text")))
-    both = edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next"), let(F.col("edited"), lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), sketch(e).alias("sketch"))).alias("e"))
+    edited = with_next(documents, scale=scale).withColumn("edited", edit(F.col("text"), F.col("next.text")))
+    both = edited.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next"), let(F.col("edited"), lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), sketch(e, scale).alias("sketch"))).alias("e"))
     return both.select(
         "doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"),
         written(F.col("sketch")).alias("fingerprint"), written(F.col("e.sketch")).alias("edited_fingerprint"),
