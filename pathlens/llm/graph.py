@@ -18,15 +18,17 @@ def components(edges: DataFrame, work: Work, most_rounds: int = 60) -> DataFrame
     others, and every round is cut by a table.
     """
     maps: list[DataFrame] = []
-    edges = edges.where("a <> b")
+    given = edges = edges.where("a <> b")
     for step in range(most_rounds):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = work.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), f"least{step}")
         maps.append(least)
         left = least.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = least.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = work.save(edges, f"edges{step}")
+        fewer = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        before, edges = edges, work.save(fewer, f"edges{step}")
+        if before is not given:
+            work.drop(before)
         if edges.isEmpty():
             break
     else:
@@ -35,4 +37,6 @@ def components(edges: DataFrame, work: Work, most_rounds: int = 60) -> DataFrame
     for earlier in reversed(maps[:-1]):
         later = found.select(F.col("node").alias("root"), F.col("root").alias("__last"))
         found = earlier.join(later, "root", "left").select("node", F.coalesce("__last", "root").alias("root"))
-    return work.save(found, "components")
+    found = work.save(found, "components")
+    work.drop(edges, *maps)
+    return found

@@ -15,17 +15,19 @@ have a Jaccard similarity of ``threshold`` or more.
    Runs repeat until the target recall. Only edges of a spanning forest leave a
    node, never its pairs.
 3. Connected components of these edges hold every link. Inside a component the
-   sets themselves are compared, all with all, in blocks of ``BLOCK_SETS``;
-   each pair meets in exactly one task, which adds to the counts of its two
+   sets themselves are compared, all with all, in parts of about ``BLOCK_SETS``
+   sets and at most about ``BLOCK_BYTES`` of hashes; each pair meets in exactly one task, which adds to the counts of its two
    sets and emits a spanning forest of true links.
 4. Components of the true links are the classes.
 
-A pair at the threshold gets lost with a chance below ``1 - recall``; whatever
+A pair at the threshold meets in no node with a chance below ``1 - recall``, and
+its signatures differ by more than ``SLACK`` with a chance of about 3e-5; whatever
 is reported has been verified on the whole sets.
 
 Defined cases: a null text counts as empty; texts of fewer than five words have
 one shingle of all their words; texts without a word agree only if equal as a
-string; repeated rows are copies; a null doc_id keeps its row and can be in a
+string; repeated rows are copies, and ties of doc_id are ordered by text and then
+by all columns; a null doc_id keeps its row and can be in a
 class, whose id is the least doc_id that is not null; an empty table gives an
 empty result; other columns of the input are ignored here.
 """
@@ -42,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowkit, graph, textkit
-from .work import Work, text_of
+from .work import Work, quoted, row_hash, text_of, unused
 
 U = np.uint64
 WORDS = 5
@@ -52,7 +54,8 @@ BRANCH = 2.0
 RECALL = 0.9999
 LIMIT = 512
 DEPTH = 3
-BLOCK_SETS = 1024
+BLOCK_SETS = 512
+BLOCK_BYTES = 16_000_000
 #: Signatures that agree this much less than the threshold are still tied (four standard errors).
 SLACK = 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
 
@@ -63,13 +66,20 @@ _B = textkit.mix(np.arange(1001, COORDINATES + 1001, dtype=U))
 def runs_for(recall: float, threshold: float, branch: float = BRANCH) -> int:
     """Runs after which a pair at the threshold met in some leaf with chance ``recall``.
 
-    In one run the pair's common path dies out as a branching process with
-    Poisson(branch * threshold) children.
+    All runs walk the same coordinates, of which the pair shares a binomial
+    number. Given that, runs are independent, and in each the pair's common path
+    dies out as a branching process with Poisson(branch * share) children.
     """
-    dead = 0.0
-    for _ in range(200):
-        dead = math.exp(-branch * threshold * (1 - dead))
-    return math.ceil(math.log(1 - recall) / math.log(dead))
+    shared = np.arange(COORDINATES + 1)
+    ways = np.array([math.comb(COORDINATES, int(k)) for k in shared], float)
+    chance = ways * threshold**shared * (1 - threshold) ** (COORDINATES - shared)
+    dead = np.zeros(COORDINATES + 1)
+    for _ in range(500):
+        dead = np.exp(-branch * shared / COORDINATES * (1 - dead))
+    runs = 1
+    while float(chance @ dead**runs) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -89,8 +99,8 @@ def _sketch(batches):
         sets = list(textkit.shingle_sets(texts, WORDS))
         marks = [signature(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(map(set_key, sets), pa.binary()), pa.array([s.tobytes() for s in marks], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in marks], pa.binary())],
-            ["doc_id", "text_key", "set_key", "signature", "low"],
+            [*batch.columns[:3], pa.array(map(set_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in marks], pa.binary()), pa.array([s.astype(np.uint8).tobytes() for s in marks], pa.binary())],
+            ["doc_id", "text_key", "row_key", "set_key", "size", "signature", "low"],
         )
 
 
@@ -224,7 +234,7 @@ def _verify(batches, threshold: float):
 def candidate_edges(sketches: DataFrame, work: Work, threshold: float, recall: float) -> DataFrame:
     """Edges that tie together all sets with a link, by chosen paths."""
     runs = runs_for(recall, threshold)
-    rows, found = sketches, None
+    rows, found, old = sketches, None, []
     for depth in range(1, DEPTH + 1):
         paths = work.save(rows.drop("low").mapInArrow(partial(_split, runs=runs), "set_key binary, path long"), f"paths{depth}")
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("head")).where("n > 1")
@@ -237,60 +247,84 @@ def candidate_edges(sketches: DataFrame, work: Work, threshold: float, recall: f
             edges = edges.unionByName(large.select(F.col("head").alias("a"), F.col("set_key").alias("b")))
         edges = work.save(edges.distinct(), f"near{depth}")
         found = edges if found is None else found.unionByName(edges)
+        work.drop(*old)
+        old = [paths, sizes]
         if depth == DEPTH or sizes.where(F.col("n") > LIMIT).isEmpty():
+            work.drop(*old)
             return found
         rows = large.join(sketches, "set_key").select("set_key", "signature", "path")
     return found
 
 
-def join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(members, links).
-
-    members: doc_id, text_key (hash of the text), set_key, copies, class_key,
-    class_id, n_texts (linked representatives), n_links (linked documents,
-    copies of its own text included), keeper (the first document of its class).
-    links: a forest of verified links between representatives (a, b).
-    """
+def _classes(documents: DataFrame, threshold: float, recall: float) -> tuple[Work, DataFrame, DataFrame, DataFrame]:
+    """The work folder and, written there: members (doc_id, text_key, row_key, set_key), sets with
+    their class (set_key, copies, head, class_key, n_texts, docs), and links (a, b)."""
     spark = documents.sparkSession
     work = Work(spark, "jaccard")
-    source = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_key"), text_of(documents).alias("text"))
-    sketch = work.save(source.mapInArrow(_sketch, "doc_id long, text_key long, set_key binary, signature binary, low binary"), "sketch")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    heads = work.save(sketch.groupBy("set_key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"), F.first("low").alias("low")), "heads")
-    sketches = heads.select("set_key", "signature", "low")
-    near = candidate_edges(sketches, work, threshold, recall)
+    source = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_key"), row_hash(documents).alias("row_key"), text_of(documents).alias("text"))
+    kinds = "doc_id long, text_key long, row_key long, set_key binary, size long, signature binary, low binary"
+    sketch = work.save(source.mapInArrow(_sketch, kinds), "sketch")
+    members = work.save(sketch.select("doc_id", "text_key", "row_key", "set_key"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "row_key")
+    heads = work.save(sketch.groupBy("set_key").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature"), F.first("low").alias("low")), "heads")
+    work.drop(sketch)
+    near = candidate_edges(heads.select("set_key", "signature", "low"), work, threshold, recall)
     tied = graph.components(near, work)
-    sizes = tied.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    placed = tied.join(sizes, "root").join(heads.select("set_key", "copies", "head"), tied["node"] == heads["set_key"])
-    parts = F.ceil(F.col("n") / BLOCK_SETS).cast("int")
-    placed = placed.select("set_key", "copies", "root", F.pmod(F.xxhash64("set_key"), parts).cast("int").alias("part"), parts.alias("parts"), F.col("head.doc_id").alias("doc_id"), F.col("head.text_key").alias("text_key"))
+    slim = work.save(heads.select("set_key", "copies", "head", "size"), "slim")
+    work.drop(near, heads)
+    # the parts of a component are bounded in sets and in bytes
+    placed = tied.join(slim, tied["node"] == slim["set_key"]).drop("node")
+    sizes = placed.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("parts"))
+    placed = placed.join(sizes, "root").select("set_key", "copies", "root", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int").alias("part"), "parts", F.col("head.doc_id").alias("doc_id"), F.col("head.text_key").alias("text_key"), F.col("head.row_key").alias("row_key"))
     # the sets to compare grow with the corpus, so they are never broadcast
-    wanted = source.join(placed.hint("merge"), source["doc_id"].eqNullSafe(placed["doc_id"]) & (source["text_key"] == placed["text_key"])).select("set_key", "copies", "root", "part", "parts", "text")
+    same = source["doc_id"].eqNullSafe(placed["doc_id"]) & (source["text_key"] == placed["text_key"]) & (source["row_key"] == placed["row_key"])
+    wanted = source.join(placed.hint("merge"), same).select("set_key", "copies", "root", "part", "parts", "text")
     sets = work.save(wanted.mapInArrow(_shingles, "set_key binary, copies long, root binary, part int, parts int, shingles binary").dropDuplicates(["set_key"]), "sets")
     # part i meets part j once, in task (min, max)
     tasks = sets.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("task", F.concat_ws(":", F.hex("root"), F.least("part", "other"), F.greatest("part", "other"))).drop("root", "parts", "other")
     checked = tasks.repartition("task").sortWithinPartitions("task").mapInArrow(partial(_verify, threshold=threshold), "set_key binary, texts long, docs long, root_key binary")
     checked = work.save(checked, "checked")
+    work.drop(tied, sets)
     links = checked.where("set_key <> root_key").select(F.col("root_key").alias("a"), F.col("set_key").alias("b"))
     counts = checked.groupBy("set_key").agg(F.sum("texts").alias("n_texts"), F.sum("docs").alias("docs"))
-    classes = graph.components(links, work).select(F.col("node").alias("set_key"), F.col("root").alias("class_key"))
-    per_set = heads.select("set_key", "copies", "head").join(classes, "set_key", "left").join(counts, "set_key", "left")
-    per_set = per_set.withColumn("class_key", F.coalesce("class_key", "set_key"))
+    classes = graph.components(links, work)
+    per_set = slim.join(classes.select(F.col("node").alias("set_key"), F.col("root").alias("class_key")), "set_key", "left").join(counts, "set_key", "left")
+    per_set = work.save(per_set.withColumn("class_key", F.coalesce("class_key", "set_key")), "classes")
+    work.drop(classes, slim)
+    return work, members, per_set, links
+
+
+def join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(members, links).
+
+    members: doc_id, text_key (hash of the text), set_key, copies, class_key,
+    class_id, n_texts (linked representatives), n_links (linked documents,
+    copies of its own text included), keeper (the first document of its class).
+    links: a forest of verified links between representatives (a, b).
+    """
+    work, members, per_set, links = _classes(documents, threshold, recall)
     per_class = per_set.groupBy("class_key").agg(F.min("head").alias("first"))
-    per_set = work.save(per_set.join(per_class, "class_key"), "classes")
-    members = sketch.select("doc_id", "text_key", "set_key").join(per_set, "set_key").select(
+    per_set = work.save(per_set.join(per_class, "class_key"), "firsts")
+    out = members.join(per_set, "set_key").select(
         "doc_id", "text_key", "set_key", "copies", "class_key",
         F.col("first.doc_id").alias("class_id"),
         F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
         (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("keeper"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("row_key") == F.col("first.row_key"))).alias("keeper"),
     )
-    return members, links
+    return out, links
 
 
-def keep_first(documents: DataFrame, **options) -> DataFrame:
-    """One document of each class, all its columns; of repeated rows one stays."""
-    members, _ = join(documents, **options)
-    kept = members.where("keeper").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = documents.withColumn("__text", F.xxhash64(text_of(documents)))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__text"] == kept["__key"]), "left_semi").dropDuplicates(["doc_id", "__text"]).select(*documents.columns)
+def keep_first(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One document of each class, all its columns; the first by doc_id, text and all columns.
+
+    Rows that repeat whole are combined on the map side, and texts are exchanged once.
+    """
+    work, members, per_set, _ = _classes(documents, threshold, recall)
+    first = per_set.groupBy("class_key").agg(F.min("head").alias("first"))
+    kept = work.save(first.select(F.col("first.last").alias("k0"), F.coalesce("first.doc_id", F.lit(0)).alias("k1"), F.col("first.text_key").alias("k2"), F.col("first.row_key").alias("k3")), "kept")
+    work.drop(members, per_set)
+    keys = unused(documents, "k0", "k1", "k2", "k3")
+    values = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), F.xxhash64(text_of(documents)), row_hash(documents))
+    keyed = documents.withColumns(dict(zip(keys, values))).dropDuplicates(keys)
+    return keyed.join(kept.toDF(*keys).hint("merge"), keys, "left_semi").select(*(F.col(quoted(c)) for c in documents.columns))

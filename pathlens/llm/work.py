@@ -1,20 +1,29 @@
-"""Shared helpers: intermediate tables, and row order without a global window."""
+"""Shared helpers: intermediate tables, and columns of names that are free."""
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
+import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE_RUNS = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark deletes shuffle files once the driver has collected what holds them; so often is that asked for.
+SWEEP_SECONDS = 2.0
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one in local mode only."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="pathlens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -27,6 +36,8 @@ class Work:
     lineage: a lost executor costs the tasks that read it, not those before.
     """
 
+    swept = 0.0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -41,42 +52,40 @@ class Work:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes the files of a table that ``save`` returned."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes the files of tables that ``save`` returned, and lets Spark delete the
+        shuffle files of what was computed from them and is no longer held."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
             where = jvm.org.apache.hadoop.fs.Path(folder)
             where.getFileSystem(conf).delete(where, True)
+        if time.monotonic() - Work.swept > SWEEP_SECONDS:
+            gc.collect()
+            jvm.System.gc()
+            Work.swept = time.monotonic()
 
 
-def text_of(df: DataFrame, column: str = "text") -> Column:
-    """The text, null read as empty."""
-    return F.coalesce(df[column].cast("string"), F.lit(""))
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until ``df`` has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def order_buckets(df: DataFrame, key: str, rows: int = 512) -> tuple[DataFrame, str]:
-    """``df`` with a bucket column that rises with the integer ``key``.
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, so that rows which repeat have an order."""
+    odd = re.compile("map<|variant")
+    return F.xxhash64(*(F.to_json(F.struct(F.col(quoted(f.name)))) if odd.search(f.dataType.simpleString()) else F.col(quoted(f.name)) for f in df.schema.fields))
 
-    Buckets hold about ``rows`` rows where keys are evenly spread. Null keys
-    come first. Only the key's minimum, maximum and count reach the driver.
-    """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * rows // max(n, 1)))
-    bucket = F.coalesce(F.floor((F.col(key).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1)) if high - low > 2**62 else F.coalesce(F.expr(f"(`{key}` - {low}L) div {width}L"), F.lit(-1))
-    return df.withColumn("__bucket", bucket), "__bucket"
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def running_totals(df: DataFrame, key: str, value: str, out: str, ties: list[Column]) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over all rows before this one, by ``key`` then ``ties``.
 
-    Rows are summed inside buckets of neighbouring keys, and only the bucket
-    totals (one row per some thousand input rows) are ordered together.
-    """
-    bucketed, bucket = order_buckets(df, key, 4096)
-    totals = bucketed.groupBy(bucket).agg(F.sum(value).alias("__total"))
-    outer = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(bucket, F.coalesce(F.sum("__total").over(outer), F.lit(0)).alias("__before"))
-    inner = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
-    summed = bucketed.withColumn("__inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return summed.join(before, bucket).withColumn(out, F.col("__before") + F.col("__inner")).drop(bucket, "__before", "__inner")
+def text_of(df: DataFrame, column: str = "text") -> Column:
+    """The text, null read as empty."""
+    return F.coalesce(df[column].cast("string"), F.lit(""))
