@@ -5,19 +5,23 @@ have a Jaccard similarity of ``threshold`` or more.
 
 1. Texts with equal sets collapse to one *class representative* (a count with
    map-side combining, so thousands of copies cost no more than one).
-2. A set is embedded as ``COORDINATES`` minhash values, whose low bytes are its signature. In each run a tree is
-   walked from a root: at a node every coordinate is kept with a small chance
+2. A set is embedded as ``COORDINATES`` minhash values, whose low bytes are its
+   signature. In each run a tree is walked from a root: at a node every coordinate is kept with a small chance
    that depends on the path and the coordinate only, and sets with the same
    value there go to the same child. About ``BRANCH`` children are taken.
-   Nodes of at most ``LIMIT`` sets are compared by brute force on signatures;
-   larger ones split again, ``DEPTH`` times at most. Sets in a node that still
-   is larger agree on that many sampled tokens and are tied together untested.
+   Nodes of at most ``LIMIT`` sets are compared by brute force on signatures.
+   Larger ones compare each set with one of them, the head. If half of them are
+   near it, the node is a family and all of it is tied together; else it splits
+   again, so that sets with no more than a common passage thin out from level
+   to level. What is tied is only to be compared: nothing is lost, nor reported
+   untested.
    Runs repeat until the target recall. Only edges of a spanning forest leave a
    node, never its pairs.
 3. Connected components of these edges hold every link. Inside a component the
    sets themselves are compared, all with all, in parts of about ``BLOCK_SETS``
-   sets and at most about ``BLOCK_BYTES`` of hashes; each pair meets in exactly one task, which adds to the counts of its two
-   sets and emits a spanning forest of true links.
+   sets and at most about ``BLOCK_BYTES`` of hashes; each pair meets in exactly
+   one task, which adds to the counts of its two sets and emits a spanning
+   forest of true links.
 4. Components of the true links are the classes.
 
 A pair at the threshold meets in no node with a chance below ``1 - recall``, and
@@ -53,7 +57,10 @@ COORDINATES = 128
 BRANCH = 2.0
 RECALL = 0.9999
 LIMIT = 512
-DEPTH = 3
+#: Levels after which the sets of a crowded node are tied untested; crowds that are not alike thin out long before.
+DEPTH = 40
+#: The share of a crowded node's sets that have to be near its head for a family.
+FAMILY = 0.5
 BLOCK_SETS = 512
 BLOCK_BYTES = 16_000_000
 #: Signatures that agree this much less than the threshold are still tied (four standard errors).
@@ -231,28 +238,44 @@ def _verify(batches, threshold: float):
         yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in keep], pa.binary()), pa.array(texts[keep]), pa.array(docs[keep]), pa.array([keys[root[x]] for x in keep], pa.binary())], schema=schema)
 
 
+def _near_head(batches, threshold: float):
+    """Whether each set of a crowded node is near the node's head by signature."""
+    need = (threshold - SLACK) * COORDINATES
+    for batch in batches:
+        own, head = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (3, 4))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == head).sum(axis=1) >= need)], ["path", "set_key", "head", "near"])
+
+
 def candidate_edges(sketches: DataFrame, work: Work, threshold: float, recall: float) -> DataFrame:
     """Edges that tie together all sets with a link, by chosen paths."""
     runs = runs_for(recall, threshold)
     rows, found, old = sketches, None, []
+    low = sketches.select("set_key", "low")
     for depth in range(1, DEPTH + 1):
         paths = work.save(rows.drop("low").mapInArrow(partial(_split, runs=runs), "set_key binary, path long"), f"paths{depth}")
+        work.drop(*old)
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("head")).where("n > 1")
         sizes = work.save(sizes, f"nodes{depth}")
         # all three sides grow with the corpus, so none is ever broadcast
-        small = paths.join(sizes.where(F.col("n") <= LIMIT).select("path").hint("merge"), "path").join(sketches.select("set_key", "low").hint("merge"), "set_key").select("path", "set_key", "low")
+        small = paths.join(sizes.where(F.col("n") <= LIMIT).select("path").hint("merge"), "path").join(low.hint("merge"), "set_key").select("path", "set_key", "low")
         edges = small.repartition("path").sortWithinPartitions("path").mapInArrow(partial(_compare_signatures, threshold=threshold), "a binary, b binary")
-        large = paths.join(sizes.where(F.col("n") > LIMIT).select("path", "head"), "path")
-        if depth == DEPTH:
-            edges = edges.unionByName(large.select(F.col("head").alias("a"), F.col("set_key").alias("b")))
-        edges = work.save(edges.distinct(), f"near{depth}")
+        large = sizes.where(F.col("n") > LIMIT).join(low.select(F.col("set_key").alias("head"), F.col("low").alias("head_low")), "head")
+        crowd = paths.join(large.hint("merge"), "path").join(low.hint("merge"), "set_key").select("path", "set_key", "head", "low", "head_low")
+        crowd = work.save(crowd.mapInArrow(partial(_near_head, threshold=threshold), "path long, set_key binary, head binary, near boolean"), f"crowd{depth}")
+        # a family is tied as it is; other nodes split again, as long as there are levels
+        shares = crowd.groupBy("path").agg((F.avg(F.col("near").cast("int")) >= FAMILY).alias("family"))
+        shares = work.save(shares, f"shares{depth}")
+        tied = shares if depth == DEPTH else shares.where("family")
+        ties = crowd.join(tied.select("path").hint("merge"), "path").where("head <> set_key").select(F.col("head").alias("a"), F.col("set_key").alias("b"))
+        edges = work.save(edges.unionByName(ties).distinct(), f"near{depth}")
         found = edges if found is None else found.unionByName(edges)
-        work.drop(*old)
-        old = [paths, sizes]
-        if depth == DEPTH or sizes.where(F.col("n") > LIMIT).isEmpty():
+        work.drop(paths, sizes)
+        old = [crowd, shares]
+        if depth == DEPTH or shares.where("NOT family").isEmpty():
             work.drop(*old)
             return found
-        rows = large.join(sketches, "set_key").select("set_key", "signature", "path")
+        split = crowd.select("path", "set_key").join(shares.where("NOT family").select("path").hint("merge"), "path")
+        rows = split.join(sketches, "set_key").select("set_key", "signature", "path")
     return found
 
 
