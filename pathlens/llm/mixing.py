@@ -7,9 +7,9 @@ key, so Spark may broadcast it only where its real size allows.
 
 Defined cases: a null text has size 0 and its copies follow the same draw; a
 null source is a source of its own and the last in order; rows that repeat a
-doc_id share one draw; a null doc_id draws as the empty string; an empty table
-gives an empty result; other columns pass through unless they carry a name that
-this module adds.
+doc_id share one draw; documents with a null doc_id draw by their text, so that
+only equal ones share a draw; an empty table gives an empty result; other columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import SPACE_RUNS
+from .work import SPACE_RUNS, quoted, unused
 
 #: Weights by the rank of a source, repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -60,34 +60,38 @@ def draw(key: Column, seed: str) -> Column:
     return bits.cast("double") / F.lit(float(2**52))
 
 
-def with_copies(documents: DataFrame, seed: str = "mix-1", keep: tuple[str, ...] = ("doc_id",), **shape) -> DataFrame:
-    """``keep`` columns of each document, and __size, __source_size, __target, __copies."""
-    sized = documents.select(*(F.col(f"`{c}`") for c in keep), F.col("doc_id").alias("__id"), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"))
-    targets = source_targets(sized.select(F.col("__source").alias("source"), F.col("__size").alias("size")), **shape)
-    joined = sized.alias("d").join(targets.alias("t"), F.col("d.__source").eqNullSafe(F.col("t.source")))
-    rate = F.col("t.rate")
-    copies = F.floor(rate) + (draw(F.col("d.__id"), seed) < rate - F.floor(rate)).cast("long")
-    added = (F.col("d.__size"), F.col("t.source_size").alias("__source_size"), F.col("t.target").alias("__target"), copies.alias("__copies"))
-    return joined.select(*(F.col(f"d.`{c}`").alias(c) for c in keep), *added)
+def with_copies(documents: DataFrame, seed: str = "mix-1", **shape) -> tuple[DataFrame, list[str]]:
+    """``documents`` with four more columns, and their names, which no other column has: size,
+    source_size, target, copies."""
+    size, source_size, target, copies, source, rate = unused(documents, "size", "source_size", "target", "copies", "mix_source", "mix_rate")
+    sized = documents.withColumn(size, word_count(F.col("text")))
+    targets = source_targets(sized.select("source", F.col(quoted(size)).alias("size")), **shape).toDF(source, source_size, target, rate)
+    joined = sized.join(targets, F.col("source").eqNullSafe(F.col(quoted(source))))
+    # documents without an id draw by their text
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    share = F.col(quoted(rate))
+    counted = joined.withColumn(copies, F.floor(share) + (draw(key, seed) < share - F.floor(share)).cast("long"))
+    added = [size, source_size, target, copies]
+    return counted.select(*(F.col(quoted(c)) for c in (*documents.columns, *added))), added
 
 
 def mix(documents: DataFrame, seed: str = "mix-1", **shape) -> DataFrame:
     """The mixed corpus: every document as often as its draw says, columns as given."""
-    columns = documents.columns
-    counted = with_copies(documents, seed, keep=tuple(columns), **shape)
-    return counted.where("__copies > 0").select("*", F.explode(F.expr("sequence(1, __copies)")).alias("__copy")).select(*(F.col(f"`{c}`") for c in columns))
+    counted, (*_, copies) = with_copies(documents, seed, **shape)
+    (number,) = unused(counted, "mix_copy")
+    many = counted.where(F.col(quoted(copies)) > 0).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col(quoted(copies)))).alias(number))
+    return many.select(*(F.col(quoted(c)) for c in documents.columns))
 
 
 def report(documents: DataFrame, seed: str = "mix-1", **shape) -> DataFrame:
     """Per document: what the mix takes of it, in words."""
-    names = {"__size": "size", "__source_size": "source_size", "__target": "target", "__copies": "copies"}
-    counted = with_copies(documents, seed, **shape).withColumnsRenamed(names)
+    counted, _ = with_copies(documents.select("doc_id", "text", "source"), seed, **shape)
     return counted.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
@@ -106,12 +110,12 @@ last AS (SELECT arg_max(lv, step) AS lv FROM fill WHERE lv IS NOT NULL),
 t AS (
   SELECT source, source_size, least(cap, coalesce(w * (SELECT lv FROM last), cap)) AS target FROM w),
 r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.digest, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN least(2.0, t.target / t.source_size) ELSE 0.0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (
   SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN
-    CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate)
+    CAST(('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), digest)), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE < rate - floor(rate)
     THEN 1 ELSE 0 END AS copies FROM r)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """

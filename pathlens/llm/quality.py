@@ -21,8 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import arrowkit, gam, textkit
+from .work import quoted, unused
 
 U = np.uint64
 FOLDS, HELD = 5, 0
@@ -109,7 +111,7 @@ def held_out(doc_id: Column, folds: int, held: int) -> Column:
 
 
 def learning_rows(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled rows outside the held-out part.
+    """(text, label) of the documents of at most ``most`` labels outside the held-out part.
 
     The chosen ids are at most ``most`` rows of two numbers; that bounds what is broadcast.
     """
@@ -125,7 +127,9 @@ def _feature_rows(batches):
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> gam.Model:
-    rows = learning_rows(documents, labels, "quality", FOLDS, HELD, most).mapInArrow(_feature_rows, "x array<double>, label int").toPandas()
+    rows = learning_rows(documents, labels, "quality", FOLDS, HELD, most).mapInArrow(_feature_rows, "x array<double>, label int")
+    # a doc_id may stand for several documents; at most ``most`` come to the driver
+    rows = rows.orderBy(F.xxhash64("x"), "label").limit(most).toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, len(FEATURES)))
     order = np.lexsort((*x.T, rows["label"])) if len(rows) else []
     return gam.fit(x[order], rows["label"].to_numpy(float)[order])
@@ -139,8 +143,8 @@ def _scores(batches, model: gam.Model, name: str):
 def with_score(documents: DataFrame, model: gam.Model, name: str = "score") -> DataFrame:
     """``documents`` with a score; a column of its name is replaced."""
     rest = [f for f in documents.schema.fields if f.name != name]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return documents.select(*(f"`{f.name}`" for f in rest)).mapInArrow(partial(_scores, model=model, name=name), f"{schema}, `{name}` double")
+    schema = T.StructType([*rest, T.StructField(name, T.DoubleType())])
+    return documents.select(*(F.col(quoted(f.name)) for f in rest)).mapInArrow(partial(_scores, model=model, name=name), schema)
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -150,5 +154,6 @@ def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not rejected, columns as given."""
-    scored = with_score(documents, train(documents, labels), "__quality")
-    return scored.where(F.col("__quality") >= CUT).select(*(f"`{c}`" for c in documents.columns))
+    (name,) = unused(documents, "quality_score")
+    scored = with_score(documents, train(documents, labels), name)
+    return scored.where(F.col(quoted(name)) >= CUT).select(*(F.col(quoted(c)) for c in documents.columns))
