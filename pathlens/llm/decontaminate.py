@@ -8,8 +8,9 @@ stretch of text, and Myers' bit-parallel algorithm computes the least edit
 distance of the item to any passage there.
 
 Items are a stated query set. They go to the tasks in blocks of at most
-``BLOCK_CHARS`` characters, one automaton each, so what a task holds is bounded
-however many items there are; every block meets every text.
+``BLOCK_CHARS`` characters, one automaton each and one block at a time, so what
+the driver and a task hold is bounded however many items there are; every block
+meets every text.
 
 Defined cases: null texts and items count as empty; items whose normalised form
 has fewer than ``LEAST_CHARS`` characters match without edits and as whole words
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrowkit
-from .work import text_of
+from .work import Work, text_of
 
 #: Edits allowed per character of an item.
 BUDGET = 0.08
@@ -57,11 +58,12 @@ class Pattern:
             self.bits[c] = self.bits.get(c, 0) | 1 << i
         self.all, self.top = (1 << self.n) - 1, 1 << (self.n - 1)
 
-    def best(self, text: str) -> tuple[int, int]:
-        """Least distance of the item to a passage of ``text``, and where such a passage ends."""
+    def best(self, text: str, anchored: bool = False) -> tuple[int, int]:
+        """Least distance of the item to a passage of ``text``, and where the first such passage
+        ends; if ``anchored``, of the passages that begin where ``text`` begins."""
         up, down, score = self.all, 0, self.n
         best, end = score, 0
-        bits, full, top = self.bits, self.all, self.top
+        bits, full, top, step = self.bits, self.all, self.top, int(anchored)
         for at, c in enumerate(text, 1):
             eq = bits.get(c, 0)
             x = eq | down
@@ -71,7 +73,7 @@ class Pattern:
                 score += 1
             elif right_down & top:
                 score -= 1
-            right_up, right_down = right_up << 1 & full, right_down << 1 & full
+            right_up, right_down = (right_up << 1 | step) & full, right_down << 1 & full
             up, down = (right_down | ~(d0 | right_up)) & full, right_up & d0
             if score < best:
                 best, end = score, at
@@ -131,7 +133,9 @@ class Matcher:
                 if d is not None:
                     first = last = d
             if best[0] <= k:
-                out.append((item_id, best[0], max(0, best[1] - len(item)), best[1]))
+                # the same distance backwards from where the passage ends gives its start
+                before = text[max(0, best[1] - len(item) - k) : best[1]]
+                out.append((item_id, best[0], best[1] - Pattern(item[::-1]).best(before[::-1], anchored=True)[1], best[1]))
         return out
 
 
@@ -145,33 +149,54 @@ def _matches(batches, items, budget: float):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_key", "item_id", "edits", "start", "end"])
 
 
+def _unleaked(batches, items, budget: float):
+    matcher = Matcher(items.value, budget)
+    for batch, texts in arrowkit.pieces(batches, "text"):
+        yield batch.filter(pa.array([not matcher.find(normal(text)) for text in texts], pa.bool_()))
+
+
 def item_blocks(benchmark: DataFrame):
-    """Lists of (item_id, normalised text) of bounded size, one after the other."""
+    """Lists of (item_id, normalised text) of bounded size, one after the other, and whether it is the last."""
     held, size = [], 0
     for row in benchmark.select("item_id", text_of(benchmark).alias("text")).toLocalIterator():
         text = normal(row.text)
         if held and size + len(text) > BLOCK_CHARS:
-            yield held
+            yield held, False
             held, size = [], 0
         held.append((row.item_id, text))
         size += len(text)
-    yield held
+    yield held, True
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """One row per document and item found in it: doc_id, text_key, item_id, edits, and the
-    passage's start and end among the characters of the normalised text."""
-    context = documents.sparkSession.sparkContext
+    passage's start and end among the characters of the normalised text (of the passages with the
+    fewest edits the one that ends first, and of these the shortest)."""
+    spark = documents.sparkSession
     source = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_key"), text_of(documents).alias("text"))
-    found = None
-    for block in item_blocks(benchmark):
-        part = source.mapInArrow(partial(_matches, items=context.broadcast(block), budget=budget), "doc_id long, text_key long, item_id long, edits long, start long, end long")
+    found, work = None, Work(spark, "matches")
+    for block, last in item_blocks(benchmark):
+        items = spark.sparkContext.broadcast(block)
+        part = source.mapInArrow(partial(_matches, items=items, budget=budget), "doc_id long, text_key long, item_id long, edits long, start long, end long")
+        if not last:
+            # so that driver and tasks hold one block at a time
+            part = work.save(part, "block")
+            items.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The documents in which no item is found, columns as given."""
-    bad = matches(documents, benchmark, budget).select("doc_id", "text_key").distinct().select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
-    keyed = documents.withColumn("__text", F.xxhash64(text_of(documents)))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed["__text"] == bad["__key"]), "left_anti").select(*documents.columns)
+    """The documents in which no item is found, columns as given; nothing is exchanged."""
+    spark = documents.sparkSession
+    kept, held, work = documents, None, Work(spark, "clean")
+    for block, last in item_blocks(benchmark):
+        items = spark.sparkContext.broadcast(block)
+        kept = kept.mapInArrow(partial(_unleaked, items=items, budget=budget), documents.schema)
+        if not last:
+            kept = work.save(kept, "block")
+            items.destroy()
+            if held is not None:
+                work.drop(held)
+            held = kept
+    return kept
