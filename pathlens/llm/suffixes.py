@@ -1,39 +1,48 @@
-"""Repeated passages by hashed minimisers and runs of words, in place of a sparse suffix array.
+"""Repeated passages by sparse suffix arrays.
 
 A passage of ``LENGTH`` words that stands in two texts, or (``within``) twice in
 one text without overlap, is found as follows.
 
-1. Sparse suffixes: among any ``LENGTH`` words running, the run of ``GRAM``
+1. Sparse suffixes. Among any ``LENGTH`` words running, the run of ``GRAM``
    words with the least hash marks a suffix (a minimiser). The choice depends on
    the content only, so equal passages mark equal suffixes; about one word in
-   twenty does.
-2. Suffixes are brought together by their first ``GRAM`` words, and those that
-   occur in one text only, at places less than ``LENGTH`` words apart, are
-   dropped. Order inside a group of equal beginnings carries no more information
-   than equality here, so it is grouped by hash; no suffixes are sorted. That
-   combines on the map side, and a passage that a third of all texts share costs
-   each task one row.
-3. In place of extending matches between neighbours, every run of ``LENGTH`` words
-   around a remaining suffix (each run belongs to exactly one) is hashed and
-   grouped in the same way.
-4. Adjoining runs of a text merge into its repeated spans.
+   twenty does. Suffixes whose first ``GRAM`` words stand nowhere else are left
+   out, by a count with map-side combining.
+2. Sorting. The suffixes are range-partitioned and sorted by their words, and
+   each is compared with its neighbours, across the edges of partitions too. The
+   longest prefix shared with a neighbour is the longest shared with any suffix:
+   how far a match can reach to the right. Ties are dealt out by text and place,
+   so a beginning that a third of all texts share fills many partitions. What
+   stands before the suffixes, read backwards, is sorted and compared likewise:
+   how far a match can reach to the left.
+3. Extension. The match furthest to the right and the one furthest to the left
+   may be with different texts, so the runs of ``LENGTH`` words within both
+   reaches (each run belongs to one suffix) are confirmed by grouping equal
+   ones. A run's class is named by its first occurrence, in order of (hash of
+   text, place), and has the number of its occurrences.
+4. Adjoining runs of a text merge into its repeated spans; adjoining runs whose
+   first occurrences adjoin too are one passage.
 
 Every passage of ``LENGTH`` words or more that two different texts share, or that
 one text holds at two places which do not overlap, is found, whole, with no cap on
-how many texts share it; all places of such a run are reported. Texts that are
-equal as a whole are compared once; each of them is one repeated span if long
-enough.
+how many texts share it; all places of such a run are reported, and any two texts
+that share a run have a passage with the same first occurrence there. Texts that
+are equal as a whole are compared once; each of them is one repeated span if long
+enough. Neighbours are compared word by word; grams and runs by 64-bit hashes.
 
 Defined cases: null texts count as empty; texts of fewer than ``LENGTH`` words
 have no spans; passages that repeat only inside one text are reported if
 ``within`` is set, as op9 does; a run that meets itself only in overlapping
-places does not repeat; rows that repeat a doc_id and its text are one document;
-null doc_ids are kept; an empty table gives an empty result; other columns are
-ignored.
+places does not repeat; a word of more than ``LONG_WORD`` characters stands as a
+digest of itself when sorted; rows that repeat a doc_id and its text are one
+document; null doc_ids are kept; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +55,7 @@ U = np.uint64
 LENGTH = 50
 GRAM = 12
 SPREAD = LENGTH - GRAM + 1
+LONG_WORD = 40
 
 
 def minimisers(words: textkit.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,8 +87,18 @@ def _suffixes(batches):
         )
 
 
-def _runs(batches):
-    """Runs of LENGTH words around the given places of each text: (run, text_key, start)."""
+def said(word: str) -> str:
+    return word if len(word) <= LONG_WORD else "=" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+_CONTEXT = pa.schema([("text_key", pa.int64()), ("place", pa.int32()), ("onward", pa.string()), ("back", pa.string()), ("first", pa.int32()), ("runs", pa.list_(pa.int64()))])
+
+
+def _contexts(batches):
+    """Per wanted suffix: LENGTH words from it on, the words before it backwards, and the hashes of its runs.
+
+    Every word ends with a blank, so that blanks count whole words.
+    """
     for batch, texts in arrowkit.pieces(batches, "text"):
         keys = batch.column(batch.schema.get_field_index("text_key")).to_pylist()
         wanted = batch.column(batch.schema.get_field_index("places")).to_pylist()
@@ -87,61 +107,160 @@ def _runs(batches):
             starts, at, _ = minimisers(words)
             if not len(starts):
                 continue
-            asked = np.concatenate([np.array(p, np.int64) + f for p, f in zip(wanted[a:b], words.first[:-1])])
-            mark = np.zeros(len(words.hash) + 1, bool)
-            mark[asked] = True
-            starts = starts[mark[at]]
-            owner = np.searchsorted(words.first, starts, side="right") - 1
-            runs = textkit.windows(words.hash, LENGTH)[starts]
-            yield pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(np.array(keys[a:b], np.int64)[owner]), pa.array((starts - words.first[owner]).astype(np.int32))], ["run", "text_key", "start"])
+            runs = textkit.windows(words.hash, LENGTH).view(np.int64)
+            columns: list[list] = [[] for _ in _CONTEXT]
+            for i in range(b - a):
+                base, end = int(words.first[i]), int(words.first[i + 1])
+                places = np.sort(np.array(wanted[a + i], np.int64)) + base
+                # a text's minimisers rise with the starts of its runs
+                low, high = np.searchsorted(starts, (base, end))
+                lo, hi = low + np.searchsorted(at[low:high], places), low + np.searchsorted(at[low:high], places, side="right")
+                begin, stop = words.begin[base:end].tolist(), words.end[base:end].tolist()
+                text = words.points[words.starts[i] : words.starts[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
+                from_here = int(words.starts[i])
+                listed = [said(text[x - from_here : y - from_here]) + " " for x, y in zip(begin, stop)]
+                for p, x, y in zip((places - base).tolist(), lo.tolist(), hi.tolist()):
+                    row = (keys[a + i], p, "".join(listed[p : p + LENGTH]), "".join(listed[max(0, p - SPREAD + 1) : p][::-1]), int(starts[x]) - base, runs[starts[x:y]])
+                    for column, value in zip(columns, row):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT)], schema=_CONTEXT)
+
+
+def common_words(a: str, b: str) -> int:
+    """How many whole words two lists of words begin with together."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return a.count(" ", 0, high)
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return a.count(" ", 0, low)
+
+
+_REACH = pa.schema([("text_key", pa.int64()), ("place", pa.int32()), ("reach", pa.int32()), ("edge", pa.int32()), ("part", pa.int32()), ("words", pa.string())])
+
+
+def _reach(batches):
+    """Per row of a sorted partition the longest beginning shared with a neighbour (edge 0); then its first (1) and last (2) row."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    held, before, first = None, 0, None
+    for batch in batches:
+        rows = []
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if held is None:
+                first = row
+            else:
+                shared = common_words(held[2], row[2])
+                rows.append((held[0], held[1], max(before, shared), 0, part, None))
+                before = shared
+            held = row
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REACH)], schema=_REACH)
+    if held is not None:
+        rows = [(*held[:2], before, 0, part, None), (*first[:2], 0, 1, part, first[2]), (*held[:2], 0, 2, part, held[2])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _REACH)], schema=_REACH)
+
+
+def neighbours(contexts: DataFrame, column: str, work: Work) -> tuple[DataFrame, DataFrame]:
+    """(text_key, place, reach): the longest beginning of ``column``, in words, that another row
+    shares, once or twice per row with the greater to be taken; and the table it is read from."""
+    spark = contexts.sparkSession
+    order = ("words", "text_key", "place")
+    ordered = contexts.select("text_key", "place", F.col(column).alias("words")).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = work.save(ordered.mapInArrow(_reach, "text_key long, place int, reach int, edge int, part int, words string"), f"by-{column}")
+    # two rows per partition come to the driver: where one ends and the next begins
+    edges = rows.where("edge > 0").orderBy("part", "edge").collect()
+    over = []
+    for last, first in zip(edges[1::2], edges[2::2]):
+        shared = common_words(last["words"], first["words"])
+        over += [(last["text_key"], last["place"], shared), (first["text_key"], first["place"], shared)]
+    kinds = "text_key long, place int, reach int"
+    return rows.where("edge = 0").select("text_key", "place", "reach").unionByName(spark.createDataFrame(over, kinds)), rows
+
+
+_PIECES = "array<struct<start:int,end:int,of_text:bigint,of_start:int,places:bigint>>"
+_FOUND = pa.schema([
+    ("text_key", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+    ("pieces", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("of_text", pa.int64()), ("of_start", pa.int32()), ("places", pa.int64())]))),
+])
 
 
-def _spans(batches):
-    """Merged word ranges of each text's repeated runs."""
+def _merged(batches):
+    """Per text, of its repeated runs: spans of adjoining ones, and pieces whose first occurrences adjoin too."""
     for batch in batches:
-        spans = []
-        for starts in batch.column(1).to_pylist():
-            s = np.sort(np.array(starts))
-            new = np.flatnonzero(np.diff(s) > LENGTH) + 1
-            begin = s[np.concatenate(([0], new))]
-            end = s[np.concatenate((new - 1, [len(s) - 1]))] + LENGTH
-            spans.append([{"start": int(x), "end": int(y)} for x, y in zip(begin, end)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["text_key", "spans"])
+        spans, pieces = [], []
+        for runs in batch.column(1):
+            flat = runs.values.flatten()
+            start, text, place, n = (np.asarray(x) for x in flat)
+            order = np.argsort(start, kind="stable")
+            start, text, place, n = start[order].astype(np.int64), text[order], place[order].astype(np.int64), n[order]
+            apart = np.flatnonzero(np.diff(start) > LENGTH) + 1
+            begin, end = start[np.concatenate(([0], apart))], start[np.concatenate((apart - 1, [len(start) - 1]))] + LENGTH
+            spans.append([{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())])
+            new = np.flatnonzero((np.diff(start) != 1) | (np.diff(place) != 1) | (text[1:] != text[:-1]) | (n[1:] != n[:-1])) + 1
+            at, to = np.concatenate(([0], new)), np.concatenate((new - 1, [len(start) - 1]))
+            pieces.append([{"start": a, "end": b, "of_text": c, "of_start": d, "places": e} for a, b, c, d, e in zip(start[at].tolist(), (start[to] + LENGTH).tolist(), text[at].tolist(), place[at].tolist(), n[at].tolist())])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _FOUND.field(1).type), pa.array(pieces, _FOUND.field(2).type)], schema=_FOUND)
 
 
-def shared(rows: DataFrame, key: str, place: str | None = None) -> DataFrame:
+def shared(rows: DataFrame, key: str, place: str | None = None, *more) -> DataFrame:
     """The values of ``key`` that occur with two texts, or LENGTH or more apart by ``place`` in one."""
     ends = [F.min("text_key").alias("__low"), F.max("text_key").alias("__high")]
     if place is None:
-        return rows.groupBy(key).agg(*ends).where("__low <> __high").select(key)
+        kept = rows.groupBy(key).agg(*ends, *more).where("__low <> __high")
+        return kept.drop("__low", "__high")
     # where there is one text only, the first and last place are its own
     ends += [F.min(place).alias("__first"), F.max(place).alias("__last")]
-    return rows.groupBy(key).agg(*ends).where(f"__low <> __high OR __last - __first >= {LENGTH}").select(key)
+    return rows.groupBy(key).agg(*ends, *more).where(f"__low <> __high OR __last - __first >= {LENGTH}").drop("__low", "__high", "__first", "__last")
 
 
 def repeats(documents: DataFrame, within: bool = False) -> DataFrame:
     """Per document with a repeated passage: doc_id, text_key, n_words, copies (documents of
-    equal text), spans (word ranges, end exclusive) and repeated_words. Passages that repeat inside one
-    text only count if ``within``."""
+    equal text), spans (word ranges, end exclusive), repeated_words, and passages (start, end,
+    first_doc and first_start of the first occurrence, places: how often it occurs in different
+    texts). Passages that repeat inside one text only count if ``within``."""
     spark = documents.sparkSession
     work = Work(spark, "suffixes")
     source = documents.select("doc_id", F.xxhash64(text_of(documents)).alias("text_key"), text_of(documents).alias("text"))
     docs = work.save(source.mapInArrow(_suffixes, "doc_id long, text_key long, n_words long, grams array<long>, places array<int>"), "suffixes")
-    ids = docs.select("doc_id", "text_key", "n_words").distinct()
+    ids = work.save(docs.select("doc_id", "text_key", "n_words").distinct(), "ids")
     heads = ids.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).getField("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     suffixes = docs.select("text_key", F.explode(F.arrays_zip("grams", "places")).alias("s")).select("text_key", F.col("s.grams").alias("gram"), F.col("s.places").alias("place"))
     # written tables on both sides, so that a gram of very many texts can be split at run time
     grams = work.save(shared(suffixes, "gram", "place" if within else None), "grams")
-    places = suffixes.join(grams, "gram").groupBy("text_key").agg(F.collect_set("place").alias("places"))
-    wanted = places.join(heads.select("text_key", "head"), "text_key").select(F.col("text_key").alias("__key"), "head", "places")
-    # texts grow with the corpus, so neither side is ever broadcast
-    texts = source.join(wanted.hint("merge"), source["doc_id"].eqNullSafe(wanted["head"]) & (source["text_key"] == wanted["__key"])).select("text_key", "text", "places")
-    runs = work.save(texts.mapInArrow(_runs, "run long, text_key long, start int"), "runs")
-    equal = work.save(shared(runs, "run", "start" if within else None), "equal")
-    found = runs.join(equal, "run").groupBy("text_key").agg(F.collect_set("start").alias("starts")).mapInArrow(_spans, "text_key long, spans array<struct<start:int,end:int>>")
+    places = suffixes.join(grams.hint("merge"), "gram").groupBy("text_key").agg(F.collect_set("place").alias("places"))
+    named = lambda doc_id: (F.col(doc_id).isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"))
+    wanted = places.join(heads.select("text_key", "head"), "text_key").select(*named("head"), "text_key", "places")
+    # rows that repeat are combined on the map side; texts grow with the corpus, so neither side is ever broadcast
+    once = source.select(*named("doc_id"), "text_key", "text").dropDuplicates(["none", "id", "text_key"])
+    texts = once.join(wanted.hint("merge"), ["none", "id", "text_key"]).select("text_key", "text", "places")
+    contexts = work.save(texts.mapInArrow(_contexts, "text_key long, place int, onward string, back string, first int, runs array<long>"), "contexts")
+    work.drop(docs, grams)
+    (onward, sorted_on), (back, sorted_back) = (neighbours(contexts, column, work) for column in ("onward", "back"))
+    onward = onward.select("text_key", "place", F.col("reach").alias("onward"), F.lit(0).alias("back"))
+    back = back.select("text_key", "place", F.lit(0).alias("onward"), F.col("reach").alias("back"))
+    reaches = onward.unionByName(back).groupBy("text_key", "place").agg(F.max("onward").alias("onward"), F.max("back").alias("back")).where(f"onward + back >= {LENGTH}")
+    runs = contexts.select("text_key", "place", "first", "runs").join(reaches.hint("merge"), ["text_key", "place"]).select("text_key", "place", "onward", "back", "first", F.posexplode("runs").alias("at", "run"))
+    runs = runs.withColumn("start", F.col("first") + F.col("at")).where(f"place - start <= back AND start + {LENGTH} <= place + onward").select("run", "text_key", "start")
+    runs = work.save(runs, "runs")
+    work.drop(contexts, sorted_on, sorted_back)
+    first = F.min(F.struct("text_key", "start")).alias("of")
+    equal = work.save(shared(runs, "run", "start" if within else None, first, F.count(F.lit(1)).alias("places")), "equal")
+    met = runs.join(equal.hint("merge"), "run").groupBy("text_key").agg(F.collect_list(F.struct("start", F.col("of.text_key").alias("of_text"), F.col("of.start").alias("of_start"), "places")).alias("runs"))
+    found = work.save(met.mapInArrow(_merged, f"text_key long, spans array<struct<start:int,end:int>>, pieces {_PIECES}"), "found")
+    work.drop(runs, equal)
+    first_docs = heads.select(F.col("text_key").alias("of_text"), F.col("head").alias("first_doc"))
+    pieces = found.select("text_key", F.explode("pieces").alias("p")).select("text_key", "p.*").join(first_docs, "of_text")
+    passages = pieces.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc", F.col("of_start").alias("first_start"), "places"))).alias("passages"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
-    placed = ids.join(heads.select("text_key", "copies"), "text_key").join(found, "text_key", "left")
+    placed = ids.join(heads.select("text_key", "copies"), "text_key").join(found.select("text_key", "spans"), "text_key", "left").join(passages, "text_key", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= LENGTH)
     spans = F.when(copied, whole).otherwise(F.col("spans"))
     out = placed.withColumn("spans", spans).where("spans IS NOT NULL")
-    return out.select("doc_id", "text_key", "n_words", "copies", "spans", F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("long").alias("repeated_words"))
+    words = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"]).cast("long").alias("repeated_words")
+    return out.select("doc_id", "text_key", "n_words", "copies", "spans", words, "passages")
