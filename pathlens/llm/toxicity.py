@@ -11,7 +11,9 @@
    model scores; plain words are their own best restoration and are not decoded.
 3. The words of the text and of its restorations give grams (whole words, and
    their first 4 to 8 characters). A logistic model over those that labelled
-   rows tell apart scores how often and how densely they occur.
+   rows tell apart scores how often and how densely they occur. How many grams
+   it uses, and where its cut lies, is found by cross-validation inside the
+   learning rows; the penalty of its weights falls with their number.
 
 The model learns from at most ``SAMPLE`` labelled rows, those with the least
 hash of doc_id. Scoring reads the table once and shuffles nothing.
@@ -38,7 +40,10 @@ from . import arrowkit, gam, quality, textkit
 U = np.uint64
 FOLDS, HELD = 4, 2
 SAMPLE = 8_000
-GRAMS = 4096
+#: How many grams a model may use; cross-validation takes one of these.
+GRAMS = (256, 1024, 4096)
+PARTS = 3
+RIDGE = 1.0
 LEAST_ROWS = 5
 CUT = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
@@ -346,13 +351,13 @@ def _design_rows(batches, model: Model):
         yield pa.RecordBatch.from_arrays([pa.array(np.split(cols[order], cut), pa.list_(pa.int64())), pa.array(np.split(values[order], cut), pa.list_(pa.float64())), batch.column(1)], ["cols", "vals", "label"])
 
 
-def _logistic(rows, cols, values, y, width: int, steps: int = 400, ridge: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Adam on the whole sample."""
+def _logistic(rows, cols, values, y, width: int, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Adam on the whole sample; the penalty of a weight falls with the number of rows."""
     w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, steps + 1):
         p = gam.sigmoid(b + np.bincount(rows, values * w[cols], len(y)))
-        g = np.bincount(cols, values * (p - y)[rows], width) / len(y) + ridge * w
+        g = (np.bincount(cols, values * (p - y)[rows], width) + RIDGE * w) / len(y)
         gb = float((p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
@@ -362,6 +367,44 @@ def _logistic(rows, cols, values, y, width: int, steps: int = 400, ridge: float
     return w, b
 
 
+def out_of_fold(rows, cols, values, y, width: int) -> np.ndarray:
+    """The log odds of each learning row by a model that has not seen its part of the sample."""
+    part = np.random.default_rng(0).integers(0, PARTS, len(y))
+    out = np.zeros(len(y))
+    for k in range(PARTS):
+        seen = part != k
+        place, mine = np.cumsum(seen) - 1, seen[rows]
+        w, b = _logistic(place[rows[mine]], cols[mine], values[mine], y[seen], width, 150)
+        out[~seen] = (b + np.bincount(rows, values * w[cols], len(y)))[~seen]
+    return out
+
+
+def separation(odds: np.ndarray, y: np.ndarray) -> float:
+    """The chance that a row of label 1 lies above one of label 0 (area under the curve)."""
+    order = np.argsort(odds, kind="stable")
+    _, first, inverse, times = np.unique(odds[order], return_index=True, return_inverse=True, return_counts=True)
+    rank = np.empty(len(y))
+    rank[order] = (first + (times + 1) / 2)[inverse]
+    n = y.sum()
+    return float((rank[y == 1].sum() - n * (n + 1) / 2) / max(n * (len(y) - n), 1))
+
+
+def calibration(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, cut): what log odds have to be multiplied by to be right, and where the cut gives the best F1."""
+    order = np.argsort(-odds, kind="stable")
+    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(y) + 1) + y.sum())
+    at = int(np.argmax(f1))
+    below = odds[order][at + 1] if at + 1 < len(y) else odds[order][at] - 1
+    slope, shift = 1.0, 0.0
+    for _ in range(100):
+        p = gam.sigmoid(slope * odds + shift)
+        g = np.array([((p - y) * odds).sum() + (slope - 1), (p - y).sum() + shift / 100])
+        h = p * (1 - p)
+        curve = np.array([[(h * odds * odds).sum() + 1, (h * odds).sum()], [(h * odds).sum(), h.sum() + 0.01]])
+        slope, shift = np.array([slope, shift]) - np.linalg.solve(curve, g)
+    return float(np.clip(slope, 0.5, 5)), float((odds[order][at] + below) / 2)
+
+
 def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     counts = np.zeros(SIZE**3, np.int64)
     for row in documents.select("text").mapInArrow(_count_rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas().itertuples():
@@ -377,14 +420,35 @@ def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     share_p, share_q = F.col("p") / n[1], F.col("q") / n[0]
     every = (F.col("p") + F.col("q")) / (n[0] + n[1])
     gain = F.abs(share_p - share_q) / F.sqrt(every * (1 - every) + F.lit(1e-9))
-    best = grams.select("gram", gain.alias("gain")).orderBy(F.col("gain").desc(), "gram").limit(GRAMS).toPandas()
-    model.grams = np.sort(best["gram"].to_numpy(np.int64).view(U))
+    best = grams.select("gram", gain.alias("gain")).orderBy(F.col("gain").desc(), "gram").limit(max(GRAMS)).toPandas()
+    ranked = best["gram"].to_numpy(np.int64).view(U)
+    by_value = np.argsort(ranked)
+    model.grams, rank = ranked[by_value], by_value
     model.weights = np.zeros(2 * len(model.grams))
-    design = learning.mapInArrow(partial(_design_rows, model=model), "cols array<long>, vals array<double>, label int").toPandas()
+    design = learning.mapInArrow(partial(_design_rows, model=model), "cols array<long>, vals array<double>, label int")
+    design = design.orderBy(F.xxhash64("cols", "vals"), "label").limit(most).toPandas()
     order = np.lexsort(([len(c) for c in design["cols"]], [float(np.sum(v)) for v in design["vals"]], design["label"]))
     design = design.iloc[order]
+    y = design["label"].to_numpy(float)
     rows = np.repeat(np.arange(len(design)), [len(c) for c in design["cols"]])
-    model.weights, model.intercept = _logistic(rows, np.concatenate(design["cols"].to_list()).astype(int), np.concatenate(design["vals"].to_list()), design["label"].to_numpy(float), 2 * len(model.grams))
+    cols, values = np.concatenate(design["cols"].to_list()).astype(int), np.concatenate(design["vals"].to_list())
+    # how many grams this many labels can bear is seen on rows that a model has not learnt from
+    found = []
+    for width in GRAMS:
+        kept = np.flatnonzero(rank < width)
+        place = np.full(2 * len(rank), -1)
+        place[np.concatenate([kept, kept + len(rank)])] = np.arange(2 * len(kept))
+        some = place[cols] >= 0
+        part = rows[some], place[cols[some]], values[some], y, 2 * len(kept)
+        odds = out_of_fold(*part)
+        found.append((separation(odds, y), -width, odds, kept, part))
+        if len(kept) == len(rank):
+            break
+    _, _, odds, kept, part = max(found, key=lambda x: x[:2])
+    weights, intercept = _logistic(*part)
+    slope, cut = calibration(odds, y)
+    model.grams = model.grams[kept]
+    model.weights, model.intercept = slope * weights, slope * (intercept - cut) + float(np.log(CUT / (1 - CUT)))
     used = (model.weights[: len(model.grams)] != 0) | (model.weights[len(model.grams) :] != 0)
     model.weights = np.concatenate([model.weights[: len(model.grams)][used], model.weights[len(model.grams) :][used]])
     model.grams = model.grams[used]
