@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: For the query only; whoever publishes texts keeps a key of their own.
+TEST_KEY = "key of the test query"
+
+
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found")
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), TEST_KEY).select("doc_id", "text", "n_found")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(table(spark, sf_dir, "documents"), within=True).select("doc_id", "n_words", "copies", "repeated_words", "spans")
+    return suffixes.repeats(table(spark, sf_dir, "documents"), within=True).select("doc_id", "n_words", "copies", "repeated_words", "spans", "passages")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:

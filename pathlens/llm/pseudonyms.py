@@ -33,10 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprint import let
+from .work import unused
 
 ROUNDS = 8
-#: Only for tests and examples; give your own.
-KEY = "example key"
 
 EMAIL = r"(?<![\w.%+-])[\p{L}\d_.%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+"
 IBAN = r"(?<![\w])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![\w])"
@@ -194,13 +193,14 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(documents: DataFrame, key: str = KEY, column: str = "text") -> DataFrame:
+def pseudonymise(documents: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``documents`` with ``column`` rewritten and ``n_found``, the number of values replaced."""
+    (result,) = unused(documents, "pseudonymised")
     text = documents[column]
     # a candidate holds a digit or an at sign; other texts are not searched
     may = text.rlike("[0-9@]")
     gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     new = let(found, lambda all_found: F.struct(all_found.alias("old"), F.transform(all_found, lambda m: pseudonym(m, key)).alias("new")))
     whole = let(new, lambda n: F.struct(F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(n["new"], i), F.lit("")))), "").alias("text"), F.size(F.filter(F.zip_with(n["old"], n["new"], lambda a, b: a != b), lambda x: x)).cast("long").alias("n")))
-    done = documents.withColumn("__done", F.when(may, whole))
-    return done.withColumn(column, F.when(may, F.col("__done.text")).otherwise(text)).withColumn("n_found", F.coalesce(F.col("__done.n"), F.lit(0).cast("long"))).drop("__done")
+    done = documents.withColumn(result, F.when(may, whole))
+    return done.withColumn(column, F.when(may, F.col(result)["text"]).otherwise(text)).withColumn("n_found", F.coalesce(F.col(result)["n"], F.lit(0).cast("long"))).drop(result)
