@@ -206,7 +206,7 @@ j AS (
       WHEN w.etag IS NOT NULL THEN CASE WHEN replace(w.etag, 'W/', '') = r.etag THEN 'resolved' ELSE 'changed' END
       WHEN w.d = r.d THEN 'resolved' ELSE 'changed' END AS verdict
   FROM w JOIN m USING (rid) LEFT JOIN r ON r.rid = m.f % 1000000000000)
-SELECT rid AS record_id, i AS page_id, page AS canonical_url, r_id AS response_id, verdict,
+SELECT CAST(rid AS BIGINT) AS record_id, CAST(i AS BIGINT) AS page_id, page AS canonical_url, CAST(r_id AS BIGINT) AS response_id, verdict,
   CASE WHEN verdict = 'resolved' THEN 'cache-control: max-age=' || (i % 100) || chr(10) || 'content-length: ' || r_n || chr(10) || 'date: ' || t
     || chr(10) || 'etag: ' || coalesce(etag, r_etag) || chr(10) || 'last-modified: ' || strftime(DATE '2020-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') || chr(10) || 'server: one' END AS headers
 FROM j
