@@ -12,9 +12,9 @@ have a Jaccard similarity of ``threshold`` or more.
    Nodes of at most ``LIMIT`` sets are compared by brute force on signatures.
    Larger ones compare each set with one of them, the head. If half of them are
    near it, the node is a family and all of it is tied together; else it splits
-   again, so that sets with no more than a common passage thin out from level
-   to level. What is tied is only to be compared: nothing is lost, nor reported
-   untested.
+   again, so that sets with no more than a common passage thin out; what is
+   still crowded after ``DEPTH`` levels is tied together too. What is tied is
+   only to be compared: nothing is lost, nor reported untested.
    Runs repeat until the target recall. Only edges of a spanning forest leave a
    node, never its pairs.
 3. Connected components of these edges hold every link. Inside a component the
@@ -57,8 +57,8 @@ COORDINATES = 128
 BRANCH = 2.0
 RECALL = 0.9999
 LIMIT = 512
-#: Levels after which the sets of a crowded node are tied untested; crowds that are not alike thin out long before.
-DEPTH = 40
+#: Levels after which the sets of a crowded node are tied as they are.
+DEPTH = 3
 #: The share of a crowded node's sets that have to be near its head for a family.
 FAMILY = 0.5
 BLOCK_SETS = 512
