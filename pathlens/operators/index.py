@@ -44,6 +44,14 @@ def candidates(index: DataFrame, pattern: str, key: str = "path") -> DataFrame |
     return index.where(F.col("trigram").isin(*wanted)).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select(key)
 
 
+def candidates_any(index: DataFrame, patterns: list[str], key: str = "path") -> DataFrame | None:
+    """Keys that one of the patterns may match, each once; None if one of them narrows nothing."""
+    from functools import reduce
+
+    found = [candidates(index, p, key) for p in patterns]
+    return None if not found or any(f is None for f in found) else reduce(DataFrame.unionByName, found).distinct()
+
+
 def narrowed(files: DataFrame, index: DataFrame, pattern: str, key: str = "path") -> DataFrame:
     """The rows worth testing for a pattern; the exact predicate still has to be applied."""
     found = candidates(index, pattern, key)

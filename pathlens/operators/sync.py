@@ -70,6 +70,12 @@ def fast_sync(base: DataFrame, dirty: DataFrame, current: DataFrame) -> DataFram
     return rest.unionByName(current.select(*base.columns))
 
 
+def incremental_scan(base: DataFrame, dirs: DataFrame, scope: DirtyScope, read_dirs) -> DataFrame:
+    """The index after the directories (path, mtime_ns) in scope were read again with ``read_dirs(paths)``."""
+    dirty = changed_dirs(dirs, scope)
+    return fast_sync(base, dirty, read_dirs([r.path for r in dirty.collect()]))
+
+
 def verify_and_repair(base: DataFrame, events: DataFrame, verified: int, read_dirs) -> tuple[DataFrame, dict]:
     """The index after a check of the event numbers, and a report.
 

@@ -7,7 +7,9 @@ driver, one batch at a time, over the few rows that ask for a change.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,83 +80,115 @@ def batch_size(items_per_second: int) -> int:
     return max(1, min(items_per_second // 500, 10))
 
 
+SCANNED, PROMOTING, WATCHED, DEMOTING = "scanned", "promoting", "watched", "demoting"
+#: What becomes of a directory: (its state, what happened) -> (its next state, times its cost that the budget in use changes).
+MOVES = {
+    (SCANNED, "wanted"): (PROMOTING, 1), (PROMOTING, "done"): (WATCHED, 0), (PROMOTING, "failed"): (SCANNED, -1),
+    (WATCHED, "idle"): (DEMOTING, 0), (DEMOTING, "done"): (SCANNED, -1), (DEMOTING, "failed"): (WATCHED, 0),
+}
+
+
 @dataclass
 class Directory:
-    tier: str = "L1"
+    state: str = SCANNED
     watch_cost: int = 1
     last_event: int = 0
     last_scan: int = 0
     empty_scans: int = 0
-    promotion_pending: bool = False
-    demotion_pending: bool = False
+
+    @property
+    def tier(self) -> str:
+        return "L0" if self.state in (WATCHED, DEMOTING) else "L1"
 
 
 class WatchState:
-    """The state machine of the tiers; kept on the driver, as the budget is one for all."""
+    """The states of all directories; kept on the driver, as the budget is one for all."""
 
     def __init__(self, budget: int):
-        self.budget, self.used = budget, 0
+        self.budget, self.used, self.blocked = budget, 0, 0
         self.dirs: dict[str, Directory] = {}
-        self.promotions = self.demotions = self.blocked = 0
+        self.moved: Counter = Counter()
+
+    @property
+    def promotions(self) -> int:
+        return self.moved[PROMOTING, "done"]
+
+    @property
+    def demotions(self) -> int:
+        return self.moved[DEMOTING, "done"]
 
     def add(self, path: str, tier: str, cost: int, now: int) -> None:
-        self.dirs[path] = Directory(tier, cost, now)
+        self.dirs[path] = Directory(WATCHED if tier == "L0" else SCANNED, cost, now)
         self.used += cost if tier == "L0" else 0
 
+    def move(self, path: str, what: str) -> bool:
+        """Whether the table has such a move for the directory, which is then made."""
+        d = self.dirs.get(path)
+        if d is None or (d.state, what) not in MOVES:
+            return False
+        self.moved[d.state, what] += 1
+        d.state, times = MOVES[d.state, what]
+        self.used = max(0, self.used + times * d.watch_cost)
+        return True
+
     def touch(self, path: str, now: int) -> None:
-        """An event renews the watched directories (L0) that it lies in; scanned ones wait for their scan."""
-        at = path
-        while True:
-            d = self.dirs.get(at)
-            if d is not None and d.tier == "L0":
+        """An event renews the watched directories that it lies in; scanned ones wait for their scan."""
+        for at in (path, *map(str, PurePosixPath(path).parents)):
+            if (d := self.dirs.get(at)) is not None and d.tier == "L0":
                 d.last_event, d.empty_scans = now, 0
-            if at in ("", "/"):
-                return
-            at = at.rpartition("/")[0] or "/"
 
     def register(self, path: str, cost: int, now: int) -> str:
+        """Asks for a directory to be watched, at a cost."""
         d = self.dirs.setdefault(path, Directory())
         d.last_event = now
-        if d.tier != "L1" or d.promotion_pending:
-            return NOT_ELIGIBLE
-        d.watch_cost = cost
+        if d.state == SCANNED:
+            d.watch_cost = cost
         return self.reserve(path)
 
     def reserve(self, path: str) -> str:
         d = self.dirs.get(path)
-        if d is None or d.tier != "L1" or d.promotion_pending:
+        if d is None or d.state != SCANNED:
             return NOT_ELIGIBLE
         if self.used + d.watch_cost > self.budget:
             self.blocked += 1
             return BLOCKED
-        self.used += d.watch_cost
-        d.promotion_pending = True
+        self.move(path, "wanted")
         return SEND
 
     def settle_promotion(self, path: str, done: bool, now: int) -> None:
-        d = self.dirs[path]
-        d.promotion_pending = False
-        if done:
-            d.tier, d.empty_scans, d.last_event = "L0", 0, now
-            self.promotions += 1
-        else:
-            self.used = max(0, self.used - d.watch_cost)
+        if self.move(path, "done" if done else "failed") and done:
+            self.dirs[path].last_event, self.dirs[path].empty_scans = now, 0
 
     def demote(self, path: str) -> bool:
-        d = self.dirs.get(path)
-        if d is None or d.tier != "L0" or d.demotion_pending:
-            return False
-        d.demotion_pending = True
-        return True
+        return self.move(path, "idle")
 
     def settle_demotion(self, path: str, done: bool) -> None:
-        d = self.dirs[path]
-        d.demotion_pending = False
-        if done:
-            d.tier, d.empty_scans = "L1", 0
-            self.used = max(0, self.used - d.watch_cost)
-            self.demotions += 1
+        if self.move(path, "done" if done else "failed") and done:
+            self.dirs[path].empty_scans = 0
 
     def scanned(self, path: str, changed: int, now: int) -> None:
         d = self.dirs[path]
         d.last_scan, d.empty_scans = now, 0 if changed else d.empty_scans + 1
+
+    def tick(self, now: int, scan, watch, unwatch, idle: int = IDLE_SECONDS, items_per_second: int = 5_000) -> dict[str, int]:
+        """One round: idle directories go back to being scanned, those that waited longest are scanned
+        (``scan(path)`` says how much changed), and where something changed they are watched if the budget allows.
+
+        ``watch(path)`` and ``unwatch(path)`` say whether they succeeded.
+        """
+        done = {"demoted": 0, "scanned": 0, "promoted": 0}
+        for path in sorted(p for p, d in self.dirs.items() if d.last_event and now - d.last_event > idle):
+            if self.demote(path):
+                gone = unwatch(path)
+                self.settle_demotion(path, gone)
+                done["demoted"] += gone
+        waiting = sorted((d.last_scan, p) for p, d in self.dirs.items() if d.state == SCANNED)
+        for _, path in waiting[: batch_size(items_per_second)]:
+            changed = scan(path)
+            self.scanned(path, changed, now)
+            done["scanned"] += 1
+            if changed and self.reserve(path) == SEND:
+                added = watch(path)
+                self.settle_promotion(path, added, now)
+                done["promoted"] += added
+        return done

@@ -163,6 +163,7 @@ def test_trigram_candidates_cover_matches(spark):
     got = {r.path for r in index.narrowed(df, idx, "*hello*").collect()}
     assert got == {"/x/Hello.txt"} and index.candidates(idx, "a?b") is None
     assert {r.path for r in index.narrowed(df, idx, "文档").collect()} == {"/文档/a"}
+    assert {r.path for r in index.candidates_any(idx, ["hello", "help"]).collect()} == {"/x/Hello.txt", "/x/help.txt"} and index.candidates_any(idx, ["hello", "a?b"]) is None
 
 
 def test_content(spark):
@@ -187,6 +188,27 @@ def test_watch_budget_and_tiers(spark):
     assert watch.batch_size(100) == 1 and watch.batch_size(5000) == 10
 
 
+def test_rounds_of_the_watch_tiers():
+    w = watch.WatchState(3)
+    for path, tier, cost, seen in (("/idle", "L0", 2, 100), ("/busy", "L0", 1, 9_000), ("/a", "L1", 2, 0), ("/b", "L1", 2, 0), ("/quiet", "L1", 1, 0)):
+        w.add(path, tier, cost, seen)
+    asked = []
+    done = w.tick(10_000, lambda p: asked.append(p) or (p != "/quiet"), lambda p: True, lambda p: True, items_per_second=1_500)
+    assert asked == ["/a", "/b", "/idle"] and done == {"demoted": 1, "scanned": 3, "promoted": 1}
+    assert {p: d.tier for p, d in w.dirs.items()} == {"/idle": "L1", "/busy": "L0", "/a": "L0", "/b": "L1", "/quiet": "L1"} and w.used == 3 and w.blocked == 2
+    assert w.tick(10_001, lambda p: 0, None, None)["scanned"] == 3 and w.dirs["/quiet"].empty_scans == 1
+    w.dirs["/busy"].last_event = 1
+    assert w.tick(20_000, lambda p: 1, lambda p: False, lambda p: False)["demoted"] == 0 and w.used == 3
+
+
+def test_incremental_scan(spark):
+    b = base(spark, [("/x/a", 1, 1), ("/x/gone", 2, 1), ("/y/c", 3, 1)])
+    dirs = spark.createDataFrame([("/x", 90 * 10**9), ("/y", 10 * 10**9)], "path string, mtime_ns long")
+    now = base(spark, [("/x/a", 1, 5), ("/x/new", 9, 1)])
+    got = sync.incremental_scan(b, dirs, sync.DirtyScope(60 * 10**9), lambda paths: now if paths == ["/x"] else None)
+    assert sorted((r.path, r.size) for r in got.collect()) == [("/x/a", 5), ("/x/new", 1), ("/y/c", 1)]
+
+
 def test_health(spark):
     rows = status.health(spark.createDataFrame([(True, 0, 5), (True, 2, 5)], "watch_enabled boolean, watch_failures int, last_snapshot int")).collect()
     assert [(r.index_health, r.issues) for r in rows] == [("ok", []), ("warning", ["watch_failures: 2"])]
