@@ -13,6 +13,7 @@ compares them again.
 from __future__ import annotations
 
 import time
+import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,10 +47,15 @@ def fingerprint(df: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1] or 0)
 
 
+def normal_roots(roots: list[str]) -> list[str]:
+    """Composed, without a final slash, in order, each once, after the root of all."""
+    return sorted({"/", *(unicodedata.normalize("NFC", r).rstrip("/") or "/" for r in roots)})
+
+
 class Snapshots:
     def __init__(self, spark: SparkSession, base: str, roots: list[str] | None = None):
         self.spark, self.store = spark, Store(spark, base)
-        self.roots = sorted({"/", *(roots or [])})
+        self.roots = normal_roots(roots or [])
 
     # versions
 
@@ -151,6 +157,18 @@ class Snapshots:
             if name.startswith("seal=") and int(name.split("=")[1]) <= up_to:
                 self.store.delete(f"wal/{name}")
 
+    def reset(self) -> None:
+        """Forgets all versions and the whole log; the next segment has a new id."""
+        n = self.seal()
+        self.store.write_json("manifest.json", {"versions": []})
+        self.forget(n)
+        self.clean()
+
+    def cutoff_ns(self) -> int:
+        """When the newest whole version was written; 0 without one. What changed since is to be looked at again."""
+        _, n, _ = self.load()
+        return self.store.read_json(f"versions/{n}.json")["written"] * 10**9 if n else 0
+
     # both
 
     def current(self) -> DataFrame | None:

@@ -10,7 +10,7 @@ from pathlens.operators.search import search
 from pathlens.sources import config, fsscan
 from pathlens.sources.fsscan import FsMetaReader, scan, scan_report
 from pathlens.sources.ignore import IgnoreFilter, parse_rule
-from pathlens.sources.snapshots import ConflictError, Snapshots, should_flush, should_snapshot
+from pathlens.sources.snapshots import ConflictError, Snapshots, normal_roots, should_flush, should_snapshot
 from pathlens.streaming.live import Pipeline, RebuildGate, discovered, pair_renames_in_state
 
 T0 = dt.datetime(2024, 1, 1)
@@ -138,6 +138,11 @@ def test_snapshot_cycle(spark, tmp_path):
         s.write(files(spark, "/z"), expect=[1])
     s.save_state(True)
     assert s.trusted()
+    assert s.cutoff_ns() >= 1_700_000_000 * 10**9
+    s.reset()
+    assert s.current() is None and s.cutoff_ns() == 0 and s.store.names("versions") == []
+    s.append(log(spark, (3, "create", "/n", None, 1, 1)))
+    assert shown(s.current()) == ["/n"] and normal_roots(["/b/", "/a", "/cafe\u0301", "/a"]) == ["/", "/a", "/b", "/caf\u00e9"]
 
 
 def test_damaged_version_falls_back(spark, tmp_path):
