@@ -91,39 +91,49 @@ def said(word: str) -> str:
     return word if len(word) <= LONG_WORD else "=" + hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
+def written_out(words: textkit.Words) -> tuple[str, np.ndarray]:
+    """All words of a block with a blank before the first and after each, and where each starts there (and the end)."""
+    length = words.end - words.begin
+    if len(length) and int(length.max()) > LONG_WORD:
+        text = words.points.tobytes().decode("utf-32-le", "surrogatepass")
+        listed = [said(text[a:b]) for a, b in zip(words.begin.tolist(), words.end.tolist())]
+        return " " + "".join(w + " " for w in listed), np.cumsum([1, *(len(w) + 1 for w in listed)])
+    at = np.concatenate(([1], 1 + np.cumsum(length + 1)))
+    out = np.full(int(at[-1]), 32, np.uint32)
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(at[:-1], length) + inside] = words.points[np.repeat(words.begin, length) + inside]
+    return out.tobytes().decode("utf-32-le", "surrogatepass"), at
+
+
 _CONTEXT = pa.schema([("text_key", pa.int64()), ("place", pa.int32()), ("onward", pa.string()), ("back", pa.string()), ("first", pa.int32()), ("runs", pa.list_(pa.int64()))])
 
 
 def _contexts(batches):
-    """Per wanted suffix: LENGTH words from it on, the words before it backwards, and the hashes of its runs.
+    """Per wanted suffix: LENGTH words from it on, the words before it backwards (letter by letter), and the hashes of its runs.
 
-    Every word ends with a blank, so that blanks count whole words.
+    Every word ends with a blank, read backwards too, so that blanks count whole words.
     """
     for batch, texts in arrowkit.pieces(batches, "text"):
-        keys = batch.column(batch.schema.get_field_index("text_key")).to_pylist()
+        keys = np.asarray(batch.column(batch.schema.get_field_index("text_key")))
         wanted = batch.column(batch.schema.get_field_index("places")).to_pylist()
         for a, b in textkit.blocks(texts):
             words = textkit.Words(texts[a:b])
             starts, at, _ = minimisers(words)
             if not len(starts):
                 continue
-            runs = textkit.windows(words.hash, LENGTH).view(np.int64)
-            columns: list[list] = [[] for _ in _CONTEXT]
-            for i in range(b - a):
-                base, end = int(words.first[i]), int(words.first[i + 1])
-                places = np.sort(np.array(wanted[a + i], np.int64)) + base
-                # a text's minimisers rise with the starts of its runs
-                low, high = np.searchsorted(starts, (base, end))
-                lo, hi = low + np.searchsorted(at[low:high], places), low + np.searchsorted(at[low:high], places, side="right")
-                begin, stop = words.begin[base:end].tolist(), words.end[base:end].tolist()
-                text = words.points[words.starts[i] : words.starts[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
-                from_here = int(words.starts[i])
-                listed = [said(text[x - from_here : y - from_here]) + " " for x, y in zip(begin, stop)]
-                for p, x, y in zip((places - base).tolist(), lo.tolist(), hi.tolist()):
-                    row = (keys[a + i], p, "".join(listed[p : p + LENGTH]), "".join(listed[max(0, p - SPREAD + 1) : p][::-1]), int(starts[x]) - base, runs[starts[x:y]])
-                    for column, value in zip(columns, row):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CONTEXT)], schema=_CONTEXT)
+            places = np.concatenate([np.sort(np.array(p, np.int64)) + f for p, f in zip(wanted[a:b], words.first[:-1].tolist())])
+            owner = np.searchsorted(words.first, places, side="right") - 1
+            # minimisers rise with the starts of their runs
+            lo, hi = np.searchsorted(at, places), np.searchsorted(at, places, side="right")
+            total = np.concatenate(([0], np.cumsum(hi - lo)))
+            runs = textkit.windows(words.hash, LENGTH)[starts[np.repeat(lo - total[:-1], hi - lo) + np.arange(total[-1])]]
+            text, begin = written_out(words)
+            middle = begin[places].tolist()
+            onward = [text[x:y] for x, y in zip(middle, begin[np.minimum(places + LENGTH, words.first[owner + 1])].tolist())]
+            back = [text[x - 1 : y - 1][::-1] for x, y in zip(begin[np.maximum(places - SPREAD + 1, words.first[owner])].tolist(), middle)]
+            columns = (keys[a + owner], places - words.first[owner], onward, back, starts[lo] - words.first[owner])
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, _CONTEXT)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(runs.view(np.int64)))], schema=_CONTEXT)
 
 
 def common_words(a: str, b: str) -> int:
@@ -183,29 +193,37 @@ def neighbours(contexts: DataFrame, column: str, work: Work) -> tuple[DataFrame,
     return rows.where("edge = 0").select("text_key", "place", "reach").unionByName(spark.createDataFrame(over, kinds)), rows
 
 
-_PIECES = "array<struct<start:int,end:int,of_text:bigint,of_start:int,places:bigint>>"
-_FOUND = pa.schema([
-    ("text_key", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-    ("pieces", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("of_text", pa.int64()), ("of_start", pa.int32()), ("places", pa.int64())]))),
-])
+_PASSAGES = "array<struct<start:int,end:int,first_doc:bigint,first_start:int,places:bigint>>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_PASSAGE = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_doc", pa.int64()), ("first_start", pa.int32()), ("places", pa.int64())])
 
 
 def _merged(batches):
-    """Per text, of its repeated runs: spans of adjoining ones, and pieces whose first occurrences adjoin too."""
+    """Per text, of its repeated runs: spans of adjoining ones, and passages, whose first occurrences adjoin too."""
     for batch in batches:
-        spans, pieces = [], []
-        for runs in batch.column(1):
-            flat = runs.values.flatten()
-            start, text, place, n = (np.asarray(x) for x in flat)
-            order = np.argsort(start, kind="stable")
-            start, text, place, n = start[order].astype(np.int64), text[order], place[order].astype(np.int64), n[order]
-            apart = np.flatnonzero(np.diff(start) > LENGTH) + 1
-            begin, end = start[np.concatenate(([0], apart))], start[np.concatenate((apart - 1, [len(start) - 1]))] + LENGTH
-            spans.append([{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist())])
-            new = np.flatnonzero((np.diff(start) != 1) | (np.diff(place) != 1) | (text[1:] != text[:-1]) | (n[1:] != n[:-1])) + 1
-            at, to = np.concatenate(([0], new)), np.concatenate((new - 1, [len(start) - 1]))
-            pieces.append([{"start": a, "end": b, "of_text": c, "of_start": d, "places": e} for a, b, c, d, e in zip(start[at].tolist(), (start[to] + LENGTH).tolist(), text[at].tolist(), place[at].tolist(), n[at].tolist())])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _FOUND.field(1).type), pa.array(pieces, _FOUND.field(2).type)], schema=_FOUND)
+        if not batch.num_rows:
+            continue
+        runs = batch.column(1)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(runs.offsets)))
+        *numbers, doc = runs.flatten().flatten()
+        start, text, place, n = (np.asarray(x).astype(np.int64) for x in numbers)
+        order = np.lexsort((start, owner))
+        owner, start, text, place, n = (x[order] for x in (owner, start, text, place, n))
+        other = owner[1:] != owner[:-1]
+
+        def cut(new: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+            """First run, start, end and offsets by text of the ranges that begin at ``new``."""
+            first = np.concatenate(([0], np.flatnonzero(new) + 1))
+            last = np.append(first[1:] - 1, len(start) - 1)
+            offsets = pa.array(np.searchsorted(owner[first], np.arange(batch.num_rows + 1)), pa.int32())
+            return first, pa.array(start[first], pa.int32()), pa.array(start[last] + LENGTH, pa.int32()), offsets
+
+        _, begin, end, offsets = cut(other | (np.diff(start) > LENGTH))
+        spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([begin, end], fields=list(_SPAN)))
+        first, begin, end, offsets = cut(other | (np.diff(start) != 1) | (np.diff(place) != 1) | (np.diff(text) != 0) | (np.diff(n) != 0))
+        columns = [begin, end, doc.take(pa.array(order[first])), pa.array(place[first], pa.int32()), pa.array(n[first])]
+        passages = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(_PASSAGE)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), spans, passages], ["text_key", "spans", "passages"])
 
 
 def shared(rows: DataFrame, key: str, place: str | None = None, *more) -> DataFrame:
@@ -250,15 +268,14 @@ def repeats(documents: DataFrame, within: bool = False) -> DataFrame:
     runs = work.save(runs, "runs")
     work.drop(contexts, sorted_on, sorted_back)
     first = F.min(F.struct("text_key", "start")).alias("of")
-    equal = work.save(shared(runs, "run", "start" if within else None, first, F.count(F.lit(1)).alias("places")), "equal")
-    met = runs.join(equal.hint("merge"), "run").groupBy("text_key").agg(F.collect_list(F.struct("start", F.col("of.text_key").alias("of_text"), F.col("of.start").alias("of_start"), "places")).alias("runs"))
-    found = work.save(met.mapInArrow(_merged, f"text_key long, spans array<struct<start:int,end:int>>, pieces {_PIECES}"), "found")
+    equal = shared(runs, "run", "start" if within else None, first, F.count(F.lit(1)).alias("places")).select("run", F.col("of.text_key").alias("of_text"), F.col("of.start").alias("of_start"), "places")
+    # the first documents are named here, where no text stands more often than it has words
+    equal = work.save(equal.join(heads.select(F.col("text_key").alias("of_text"), F.col("head").alias("first_doc")).hint("merge"), "of_text"), "equal")
+    met = runs.join(equal.hint("merge"), "run").groupBy("text_key").agg(F.collect_list(F.struct("start", "of_text", "of_start", "places", "first_doc")).alias("runs"))
+    found = work.save(met.mapInArrow(_merged, f"text_key long, spans array<struct<start:int,end:int>>, passages {_PASSAGES}"), "found")
     work.drop(runs, equal)
-    first_docs = heads.select(F.col("text_key").alias("of_text"), F.col("head").alias("first_doc"))
-    pieces = found.select("text_key", F.explode("pieces").alias("p")).select("text_key", "p.*").join(first_docs, "of_text")
-    passages = pieces.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "first_doc", F.col("of_start").alias("first_start"), "places"))).alias("passages"))
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
-    placed = ids.join(heads.select("text_key", "copies"), "text_key").join(found.select("text_key", "spans"), "text_key", "left").join(passages, "text_key", "left")
+    placed = ids.join(heads.select("text_key", "copies"), "text_key").join(found, "text_key", "left")
     copied = (F.col("copies") > 1) & (F.col("n_words") >= LENGTH)
     spans = F.when(copied, whole).otherwise(F.col("spans"))
     out = placed.withColumn("spans", spans).where("spans IS NOT NULL")
