@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pathlens.operators.ordering import bucketed
 
-STRETCH = 50_000
+STRETCH = 8_192
 #: What a 304 may renew (fixed values, from RFC 9110 and RFC 9111).
 RENEWABLE = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary", "via", "warning")
 #: Query parameters that do not name a resource.
